@@ -185,11 +185,13 @@ def evaluation_runs(spark, sf) -> DataFrame:
     bm25 = bm25_run(spark, sf, K_EVAL)
     dense = vectorsearch.dense_search(I.query_vectors(spark, sf), I.vectors(spark, sf), K_EVAL)
     cols = ["run_id", "qid", "docid", "score", "rank"]
-    return (
+    runs = (
         bm25.withColumn("run_id", F.lit("en_bm25"))
         .select(*cols)
         .unionByName(dense.withColumn("run_id", F.lit("en_dense")).select(*cols))
     )
+    # Runs are written before they are judged.
+    return stored(runs, "runs")
 
 
 @query
@@ -423,12 +425,7 @@ def parse_hits(spark, sf):
     stacked = responses.select("qid", F.explode(F.create_map(
         *[c for name, text in shapes.items() for c in (F.lit(name), text)]
     )).alias("shape", "response"))
-    return parse_hits_of(stacked.select(F.concat_ws(":", "shape", "qid").alias("qid"), "response"))
-
-
-def parse_hits_of(responses: DataFrame) -> DataFrame:
-    
-    return parse_hits(responses)
+    return hits.parse_hits(stacked.select(F.concat_ws(":", "shape", "qid").alias("qid"), "response"))
 
 
 # ------------------------------------------------------------------ joins
@@ -637,7 +634,7 @@ def bm25_search(spark, sf):
 
 @query
 def bm25_search_saved_index(spark, sf):
-    index = fulltext.build_fulltext_index(I.corpus(spark, sf))
+    index = fulltext.build_fulltext_index(I.corpus(spark, sf), partitions=8)
     saved = fulltext.save_fulltext_index(index, "gleaner_check")
     return fulltext.bm25_search(I.queries(spark, sf), saved, 100)
 
@@ -845,7 +842,7 @@ def stream_encode(spark, sf):
 @query
 def stream_search(spark, sf):
     index = fulltext.save_fulltext_index(
-        fulltext.build_fulltext_index(I.corpus(spark, sf)), "gleaner_stream"
+        fulltext.build_fulltext_index(I.corpus(spark, sf), partitions=8), "gleaner_stream"
     )
     stream = streamed(spark, I.queries(spark, sf), "questions")
     out = fresh_dir(spark, "stream-search")

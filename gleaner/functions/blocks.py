@@ -6,6 +6,7 @@ see one batch of one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,9 +173,20 @@ class LocalTopK:
         for j, query in enumerate(columns):
             self.offer(int(query), rounded[:, j], ids)
 
-    def rows(self, qids: list) -> tuple[list, np.ndarray, np.ndarray]:
-        counts = [len(s) for s in self.scores]
-        out_qids = [qid for qid, n in zip(qids, counts) for _ in range(n)]
-        ids = np.concatenate(self.ids) if self.ids else np.empty(0, dtype=object)
-        scores = np.concatenate(self.scores) if self.scores else np.empty(0)
-        return out_qids, ids, scores
+    def results(self, rows: int = 50_000) -> Iterator[tuple[list[int], list, np.ndarray]]:
+        """``(query numbers, ids, scores)`` in pieces of about ``rows`` hits."""
+        queries: list[int] = []
+        size = 0
+        for query, scores in enumerate(self.scores):
+            queries.append(query)
+            size += len(scores)
+            if size >= rows:
+                yield self._piece(queries)
+                queries, size = [], 0
+        if size:
+            yield self._piece(queries)
+
+    def _piece(self, queries: list[int]) -> tuple[list[int], list, np.ndarray]:
+        numbers = np.repeat(queries, [len(self.scores[q]) for q in queries]).tolist()
+        ids = np.concatenate([self.ids[q] for q in queries]).tolist()
+        return numbers, ids, np.concatenate([self.scores[q] for q in queries])

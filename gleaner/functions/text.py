@@ -20,8 +20,12 @@ def sanitized(text: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """All lower-case pieces between token delimiters, short and empty ones included."""
-    return F.split(F.lower(sanitized(text)), TOKEN_DELIMITER)
+    """All lower-case pieces between token delimiters, short and empty ones included.
+
+    The reserved query characters are delimiters themselves, so a query and its
+    sanitised form have the same pieces.
+    """
+    return F.split(F.lower(text), TOKEN_DELIMITER)
 
 
 def is_token(piece: Column, min_len: int = TOKEN_MIN_LEN, max_len: int = TOKEN_MAX_LEN) -> Column:

@@ -24,21 +24,22 @@ METRICS = ("l2", "ip", "maxsim", "equal_bits")
 
 # Query rows that may be broadcast (32 MB of 1024-dimensional doubles).
 QUERY_BROADCAST_ROWS = 4096
+TASKS_PER_CORE = 4
 # Rows of one document block and one query block beyond that.
 DOC_BLOCK_ROWS = 16_384
 QUERY_BLOCK_ROWS = 1024
 
 
-def _batch_hits(scored: LocalTopK, qids: list, schema: pa.Schema) -> pa.RecordBatch:
-    out_qids, ids, scores = scored.rows(qids)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(out_qids, schema.field("qid").type),
-            pa.array(ids.tolist(), schema.field("docid").type),
-            pa.array(scores, pa.float64()),
-        ],
-        schema=schema,
-    )
+def _hits(scored: LocalTopK, qids: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for numbers, ids, scores in scored.results():
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([qids[n] for n in numbers], schema.field("qid").type),
+                pa.array(ids, schema.field("docid").type),
+                pa.array(scores, pa.float64()),
+            ],
+            schema=schema,
+        )
 
 
 def _offer_batch(scored: LocalTopK, block: QueryBlock, batch, metric: str) -> None:
@@ -132,9 +133,12 @@ def block_scores(
             for batch in batches:
                 if batch.num_rows:
                     _offer_batch(scored, shared.value, batch, metric)
-            yield _batch_hits(scored, shared.value.qids, arrow_out)
+            yield from _hits(scored, shared.value.qids, arrow_out)
 
-        return docs.mapInArrow(score, out)
+        # Every task hands on up to k hits per query: a few long tasks per core keep
+        # that volume independent of the number of input splits. No shuffle here.
+        tasks = TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
+        return docs.coalesce(tasks).mapInArrow(score, out)
 
     return _blocked(queries, docs, k, metric, multi, routed, out, arrow_out)
 
@@ -177,7 +181,7 @@ def _blocked(queries, docs, k, metric, multi, routed, out, arrow_out) -> DataFra
         scored = LocalTopK(len(block.qids), k)
         for batch in left.to_batches(max_chunksize=4096):
             _offer_batch(scored, block, batch, metric)
-        return pa.Table.from_batches([_batch_hits(scored, block.qids, arrow_out)])
+        return pa.Table.from_batches(_hits(scored, block.qids, arrow_out), schema=arrow_out)
 
     keys = ["cell", "dblock", "qblock"]
     return (

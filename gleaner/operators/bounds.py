@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,21 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def local_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df`` evaluated once to a local table of at most ``max_rows`` rows, else ``None``.
+
+    Spark knows the exact size of a local table and broadcasts it on its own.
+    """
+    head = small_table(df, max_rows)
+    return None if head is None else df.sparkSession.createDataFrame(head, df.schema)
+
+
+def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | None:
+    """Rows of ``df`` when there are at most ``max_rows``, else ``None``."""
+    head = df.limit(max_rows + 1).toArrow()
+    return head if head.num_rows <= max_rows else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a count proves it small, else unchanged.
 

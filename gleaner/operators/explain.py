@@ -13,9 +13,10 @@ from gleaner.operators.fulltext import (
     postings_join,
     query_terms,
 )
-from gleaner.operators.fusion import hybrid_search, similarity_run
+from gleaner.operators.fusion import merge_hybrid, similarity_run
 from gleaner.operators.topk import query_keys, rounded
 from gleaner.operators.vectorsearch import dense_search
+from gleaner.plans.workspace import stored
 
 
 def explain_query(
@@ -36,15 +37,16 @@ def explain_query(
     if qid is not None:
         queries = queries.where(F.col("qid") == qid)
     keys = [*query_keys(queries), "docid"]
-    if vectors is None:
-        hits = bm25_search(queries, index, k, boost, k1, b)
-    else:
-        hits = hybrid_search(queries, index, vectors, k, boost, k1, b)
+    # Runs hold k hits per query; written once, they serve the ranking and the parts.
+    keyword = stored(bm25_search(queries, index, k, boost, k1, b), "keyword-run")
+    hits = keyword
+    if vectors is not None:
+        dense = stored(dense_search(queries, vectors, k), "dense-run")
+        hits = merge_hybrid(keyword, dense, k)
     hits = hits.select(*keys, "rank")
-    keyword_hits = bm25_search(queries, index, k, boost, k1, b).select(*keys)
     terms = (
         postings_join(query_terms(queries), index)
-        .join(keyword_hits, keys, "left_semi")
+        .join(keyword, keys, "left_semi")
         .select(
             *keys,
             F.lit("keyword").alias("leg"),
@@ -54,7 +56,7 @@ def explain_query(
     )
     rows = terms
     if vectors is not None:
-        legs = similarity_run(dense_search(queries, vectors, k)).select(
+        legs = similarity_run(dense).select(
             *keys, F.lit("vector").alias("leg"), F.lit("l2").alias("part"),
             rounded(F.col("score")).alias("contribution"),
         )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.constants import BM25_B, BM25_K1, MAX_HITS, TOKEN_MAX_LEN, TOKEN_MIN_LEN
-from gleaner.operators.bounds import BROADCAST_ROWS, fits
+from gleaner.operators.bounds import small_table
 from gleaner.operators.topk import query_keys, rounded, top_k
 from gleaner.plans.workspace import fresh_dir
 
@@ -47,18 +47,16 @@ class FullTextIndex:
     doc_lengths: DataFrame
     doc_freqs: DataFrame
     corpus_stats: DataFrame
+    # Number of hash partitions by docid that `postings` is known to have.
+    partitions: int | None = None
 
 
 def _with_lang(df: DataFrame) -> DataFrame:
     return df if "lang" in df.columns else df.withColumn("lang", F.lit(""))
 
 
-def _statistics(postings: DataFrame, doc_lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    doc_freqs = postings.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
-    corpus_stats = doc_lengths.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
-    )
-    return doc_freqs, corpus_stats
+def _doc_freqs(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def build_fulltext_index(
@@ -81,20 +79,25 @@ def build_fulltext_index(
     bags = spread.select(
         "lang", "docid", T.tokens(F.col(text_col), min_len, max_len).alias("terms")
     ).select("lang", "docid", "terms", F.size("terms").cast("bigint").alias("dl"))
+    # explode() would also test every text for tokens before it is moved.
     postings = (
-        bags.select("lang", "docid", "dl", F.explode("terms").alias("term"))
+        bags.select("lang", "docid", "dl", F.explode_outer("terms").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("lang", "docid", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("lang", "term", "docid", "tf", "dl")
     )
-    # Lengths need no grouping by document: read them straight off the source rows.
-    doc_lengths = narrow.select(
-        "lang",
-        "docid",
-        F.size(T.tokens(F.col(text_col), min_len, max_len)).cast("bigint").alias("dl"),
-    ).where(F.col("dl") > 0)
-    doc_freqs, corpus_stats = _statistics(postings, doc_lengths)
-    return FullTextIndex(postings, doc_lengths, doc_freqs, corpus_stats)
+    # Already distributed by docid: no shuffle.
+    doc_lengths = postings.select("lang", "docid", "dl").distinct()
+    # A filter on the length would be pushed below the shuffle and tokenise twice,
+    # so empty documents are left out while counting.
+    n = F.count_if(F.col("dl") > 0)
+    corpus_stats = (
+        bags.groupBy("lang")
+        .agg(n.alias("n"), (F.sum("dl") / F.nullif(n, F.lit(0))).alias("avgdl"))
+        .where(F.col("n") > 0)
+    )
+    return FullTextIndex(postings, doc_lengths, _doc_freqs(postings), corpus_stats, partitions)
 
 
 def save_fulltext_index(
@@ -102,25 +105,36 @@ def save_fulltext_index(
 ) -> FullTextIndex:
     """Write the index tables and return an index that reads them.
 
+    An index built with ``partitions`` is written without another shuffle, one
+    file per bucket; otherwise ``buckets`` says how many there shall be.
+
     Postings are bucketed by document and sorted by term inside each bucket:
     scoring then needs no shuffle by document, and the row-group statistics of
     the sorted ``term`` column let a search skip most of every file.
     """
     spark = index.postings.sparkSession
     root = path or fresh_dir(spark, f"index-{name}")
+    postings = index.postings
+    if index.partitions:
+        buckets = index.partitions
+    else:
+        postings = postings.repartition(buckets, "docid")
     (
-        index.postings.repartition(buckets, "docid")
-        .write.bucketBy(buckets, "docid")
+        postings.write.bucketBy(buckets, "docid")
         .sortBy("lang", "term", "docid")
         .mode("overwrite")
         .option("path", f"{root}/postings")
         .saveAsTable(f"{name}_postings")
     )
-    index.doc_lengths.write.mode("overwrite").parquet(f"{root}/doc_lengths")
+    # The other tables follow from the written postings; the text is not read again.
     postings = spark.table(f"{name}_postings")
+    lengths = postings.groupBy("lang", "docid").agg(F.max("dl").alias("dl"))
+    lengths.write.mode("overwrite").parquet(f"{root}/doc_lengths")
     doc_lengths = spark.read.parquet(f"{root}/doc_lengths")
-    doc_freqs, corpus_stats = _statistics(postings, doc_lengths)
-    doc_freqs.sort("lang", "term").write.mode("overwrite").parquet(f"{root}/doc_freqs")
+    _doc_freqs(postings).sort("lang", "term").write.mode("overwrite").parquet(f"{root}/doc_freqs")
+    corpus_stats = doc_lengths.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
+    )
     corpus_stats.write.mode("overwrite").parquet(f"{root}/corpus_stats")
     return open_fulltext_index(spark, name, root)
 
@@ -139,7 +153,8 @@ def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
     """Distinct ``(lang, qid, term)`` of every sanitised query."""
     return (
         _with_lang(queries)
-        .select("lang", "qid", F.explode(F.array_distinct(T.tokens(F.col(query_col)))).alias("term"))
+        .select("lang", "qid", F.explode_outer(F.array_distinct(T.tokens(F.col(query_col)))).alias("term"))
+        .where(F.col("term").isNotNull())
     )
 
 
@@ -148,6 +163,13 @@ PUSHED_TERMS = 2_000
 TERM_SALTS = 16
 
 
+def _weighted_terms(terms: DataFrame, doc_freqs: DataFrame, stats: DataFrame) -> DataFrame:
+    """Query terms with ``df, n, avgdl`` and the inverse document frequency."""
+    n, df = F.col("n").cast("double"), F.col("df").cast("double")
+    joined = terms.join(doc_freqs, ["lang", "term"]).join(stats, "lang")
+    return joined.withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5)))
+
+
 def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
     """Query terms joined to the postings, document frequencies and statistics.
 
@@ -159,15 +181,17 @@ def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
     # At most one row per language.
     stats = F.broadcast(index.corpus_stats)
     postings, doc_freqs = index.postings, index.doc_freqs
-    small = fits(terms, BROADCAST_ROWS)
-    if small:
-        vocabulary = terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
-        if len(vocabulary) <= PUSHED_TERMS:
-            listed = F.col("term").isin([row.term for row in vocabulary])
+    few = small_table(terms)
+    if few is not None:
+        vocabulary = few.column("term").unique().to_pylist()
+        if 0 < len(vocabulary) <= PUSHED_TERMS:
+            # Index terms are letters, digits and underscores: nothing to escape.
+            listed = F.expr("term IN ({})".format(", ".join(f"'{t}'" for t in vocabulary)))
             postings, doc_freqs = postings.where(listed), doc_freqs.where(listed)
-    weighted = terms.join(doc_freqs, ["lang", "term"]).join(stats, "lang")
-    if small:
+        local = terms.sparkSession.createDataFrame(few, terms.schema)
+        weighted = _weighted_terms(local, doc_freqs, stats)
         return postings.join(F.broadcast(weighted), ["lang", "term"])
+    weighted = _weighted_terms(terms, doc_freqs, stats)
     salt = F.pmod(F.xxhash64("docid"), F.lit(TERM_SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).alias("salt")
     return (
@@ -179,10 +203,8 @@ def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
 
 def bm25_weight(k1: float = BM25_K1, b: float = BM25_B) -> Column:
     """BM25 weight of one ``(term, document)`` row of :func:`postings_join`."""
-    n, df = F.col("n").cast("double"), F.col("df").cast("double")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+    return F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
 
 
 def bm25_scores(

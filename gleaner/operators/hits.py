@@ -26,7 +26,13 @@ def parse_hits(df: DataFrame, qid: str = "qid", response: str = "response") -> D
     keyword, semantic and plain score counts, a missing one is 0. A response that
     cannot be parsed, or that holds a score that is no number, has no hits.
     """
-    parsed = df.select(F.col(qid).alias("qid"), F.try_parse_json(response).alias("doc"))
+    # The parser stops at the end of the first value; inside an envelope anything
+    # that follows it is an error too.
+    envelope = F.concat(F.lit('{"response":'), F.col(response), F.lit(',"end":0}'))
+    whole = F.when(F.size(F.json_object_keys(envelope)) == 2, F.try_parse_json(envelope))
+    parsed = df.select(F.col(qid).alias("qid"), whole.alias("whole")).select(
+        "qid", F.try_variant_get("whole", "$.response", "variant").alias("doc")
+    )
     is_list = F.schema_of_variant("doc").startswith("ARRAY")
     flat = F.try_variant_get("doc", "$", FLAT)
     nested = F.try_variant_get("doc", "$.hits.hits", FLAT)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from gleaner.functions.blocks import equal_bit_scores, maxsim_scores, nested, round6
-from gleaner.operators.bounds import broadcast_if_small
+from gleaner.operators.bounds import local_rows
 from gleaner.operators.topk import top_k
 
 
@@ -20,13 +20,14 @@ def _rerank(
 ) -> DataFrame:
     """Score the first ``n`` hits of ``run`` only; hits without vectors keep score 0."""
     candidates = run.where(F.col("rank") <= n).select("qid", "docid")
+    few = local_rows(candidates)  # one evaluation of the first stage instead of several
+    candidates = candidates if few is None else few
     docs = multivecs.select("docid", F.col("vecs").alias("dvecs"))
-    asked = queries.select("qid", "qvecs")
     # Vectors of documents nobody retrieved are dropped before they are moved.
-    wanted = broadcast_if_small(candidates.select("docid").distinct())
+    wanted = docs.join(candidates.select("docid").distinct(), "docid", "left_semi")
     pairs = (
-        candidates.join(docs.join(wanted, "docid", "left_semi"), "docid")
-        .join(broadcast_if_small(asked, 4096), "qid")
+        candidates.join(wanted, "docid")
+        .join(queries.select("qid", "qvecs"), "qid")
         .where((F.size("dvecs") > 0) & (F.size("qvecs") > 0))
         .select("qid", "docid", "qvecs", "dvecs")
     )
