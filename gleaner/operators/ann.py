@@ -28,15 +28,21 @@ class VectorIndex:
 
 
 def kmeans_centroids(
-    vectors: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 20
+    vectors: DataFrame,
+    n_cells: int,
+    seed: int = 42,
+    max_iter: int = 20,
+    train_fraction: float = 1.0,
 ) -> DataFrame:
     """``(cell, centroid)`` of a k-means quantiser trained on ``vectors``.
 
-    The model holds ``n_cells`` centroids, a number the caller bounds.
+    The model holds ``n_cells`` centroids, a number the caller bounds. A smaller
+    ``train_fraction`` shortens the training only: every vector is indexed.
     """
     if not 0 < n_cells <= MAX_CELLS:
         raise ValueError(f"n_cells must be between 1 and {MAX_CELLS}")
-    points = vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    trained = vectors if train_fraction >= 1.0 else vectors.sample(train_fraction, seed)
+    points = trained.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(points)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "cell bigint, centroid array<double>")
@@ -120,21 +126,24 @@ def build_vector_index(
     n_cells: int = 16,
     centroids: DataFrame | None = None,
     seed: int = 42,
+    train_fraction: float = 1.0,
 ) -> VectorIndex:
     """Inverted-file index of ``(docid, vec)``; given ``centroids`` replace the training."""
-    centers = centroids if centroids is not None else kmeans_centroids(vectors, n_cells, seed)
+    centers = centroids
+    if centers is None:
+        centers = kmeans_centroids(vectors, n_cells, seed, train_fraction=train_fraction)
     return VectorIndex(assign_cells(vectors, centers), centers)
 
 
 def save_vector_index(index: VectorIndex, path: str, rows_per_file: int = 1_000_000) -> VectorIndex:
     """Write the index partitioned by cell, so a search reads the probed cells only.
 
-    A crowded cell is written by many tasks: rows are spread by (cell, docid hash).
+    Rebalancing gathers a cell in few files and splits a crowded cell between tasks.
     """
     spark = index.cells.sparkSession
-    spread = index.cells.repartition("cell", F.pmod(F.xxhash64("docid"), F.lit(8)))
     (
-        spread.write.mode("overwrite")
+        index.cells.hint("rebalance", "cell")
+        .write.mode("overwrite")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("cell")
         .parquet(f"{path}/cells")

@@ -27,7 +27,7 @@ QUERY_BROADCAST_ROWS = 4096
 TASKS_PER_CORE = 4
 # Rows of one document block and one query block beyond that.
 DOC_BLOCK_ROWS = 16_384
-QUERY_BLOCK_ROWS = 1024
+QUERY_BLOCK_ROWS = 8192
 
 
 def _hits(scored: LocalTopK, qids: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

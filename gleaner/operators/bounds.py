@@ -36,3 +36,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     Unchanged sides are joined by shuffle, where adaptive execution splits hot keys.
     """
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+# Tasks over which the rows of one join key are spread.
+SALTS = 16
+
+
+def salted_join(
+    rows: DataFrame, side: DataFrame, keys: list[str], spread_by: str, salts: int = SALTS
+) -> DataFrame:
+    """Equi-join for keys that may hold a large part of ``rows``.
+
+    Rows of a key are spread by a hash of ``spread_by``, and the smaller ``side``
+    is repeated once per salt, so every pair still meets exactly once.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    repeated = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")
+    return (
+        rows.withColumn("__salt", salt)
+        .join(side.select("*", repeated), [*keys, "__salt"])
+        .drop("__salt")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.constants import BM25_B, BM25_K1, MAX_HITS, TOKEN_MAX_LEN, TOKEN_MIN_LEN
-from gleaner.operators.bounds import small_table
+from gleaner.operators.bounds import salted_join, small_table
 from gleaner.operators.topk import query_keys, rounded, top_k
 from gleaner.plans.workspace import fresh_dir
 
@@ -158,9 +158,8 @@ def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
     )
 
 
-# Terms a pushed-down filter may list, and salts that spread a hot term.
+# Terms a pushed-down filter may list.
 PUSHED_TERMS = 2_000
-TERM_SALTS = 16
 
 
 def _weighted_terms(terms: DataFrame, doc_freqs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -175,8 +174,8 @@ def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
 
     One row per ``(query, term, document)``. The query side carries the
     statistics and is broadcast when it is proven small, so postings are never
-    shuffled. A larger query side is joined by shuffle with salted terms: a term
-    that occurs in a third of all documents is spread over ``TERM_SALTS`` tasks.
+    shuffled. A larger query side is joined by shuffle with salted terms, because
+    a term may occur in a third of all documents.
     """
     # At most one row per language.
     stats = F.broadcast(index.corpus_stats)
@@ -192,13 +191,7 @@ def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
         weighted = _weighted_terms(local, doc_freqs, stats)
         return postings.join(F.broadcast(weighted), ["lang", "term"])
     weighted = _weighted_terms(terms, doc_freqs, stats)
-    salt = F.pmod(F.xxhash64("docid"), F.lit(TERM_SALTS)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).alias("salt")
-    return (
-        postings.withColumn("salt", salt)
-        .join(weighted.select("*", salts), ["lang", "term", "salt"])
-        .drop("salt")
-    )
+    return salted_join(postings, weighted, ["lang", "term"], "docid")
 
 
 def bm25_weight(k1: float = BM25_K1, b: float = BM25_B) -> Column:

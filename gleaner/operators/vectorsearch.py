@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.constants import MAX_HITS
 from gleaner.operators.blocksearch import QUERY_BROADCAST_ROWS, block_search
-from gleaner.operators.bounds import BROADCAST_ROWS, fits
+from gleaner.operators.bounds import local_rows, salted_join
 from gleaner.operators.topk import query_keys, rounded, top_k
 
 
 def _routed(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits with the ``lang`` of their query; a query id belongs to one language."""
     lang = queries.select("qid", "lang").distinct()
-    side = F.broadcast(lang) if fits(lang, BROADCAST_ROWS) else lang
-    return hits.join(side, "qid").select("lang", "qid", "docid", "score", "rank")
+    return hits.join(lang, "qid").select("lang", "qid", "docid", "score", "rank")
 
 
 def dense_search(
@@ -76,9 +75,11 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int = MAX_HITS) -> Dat
     doc_entries = docs.repartition("docid").select(
         *routed, "docid", F.explode("sparse").alias("idx", "dval")
     )
-    if fits(query_entries, BROADCAST_ROWS):
-        query_entries = F.broadcast(query_entries)
-    rows = doc_entries.join(query_entries, [*routed, "idx"])
+    few = local_rows(query_entries)
+    if few is not None:
+        rows = doc_entries.join(F.broadcast(few), [*routed, "idx"])
+    else:
+        rows = salted_join(doc_entries, query_entries, [*routed, "idx"], "docid")
     scores = rows.groupBy(*keys, "docid").agg(
         rounded(F.sum(F.col("qval").cast("double") * F.col("dval").cast("double"))).alias("score")
     )

@@ -200,3 +200,13 @@ def test_validate_vectors(spark):
     report = encode.validate_vectors(vecs, ids, 2).first()
     assert (report.n_vectors, report.n_ids, report.wrong_dim, report.ids_without_vector, report.vectors_without_id, report.ok) == (3, 3, 1, 1, 1, False)
     assert encode.validate_vectors(vecs.where("docid = 'a'"), ids.where("docid = 'a'"), 2).first().ok
+
+
+def test_sparse_search_without_broadcast(spark, monkeypatch):
+    from checks import inputs as I
+
+    sf = "/root/testdata/sf0.001"
+    args = I.query_sparse(spark, sf), I.sparse_vectors(spark, sf), 5
+    want = rows(vectorsearch.sparse_search(*args), "qid", "docid", "score", "rank")
+    monkeypatch.setattr(vectorsearch, "local_rows", lambda df: None)
+    assert rows(vectorsearch.sparse_search(*args), "qid", "docid", "score", "rank") == want
