@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+PACKAGE = Path(__file__).resolve().parent.parent
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -24,3 +30,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session that was started without it.
+
+    Equivalent to submitting the job with ``--py-files``; done once per application.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_gleaner_shipped", False):
+        return
+    base = Path(tempfile.mkdtemp(prefix="gleaner-code-")) / "gleaner"
+    archive = shutil.make_archive(str(base), "zip", PACKAGE.parent, PACKAGE.name)
+    context.addPyFile(archive)
+    context._gleaner_shipped = True
