@@ -125,6 +125,17 @@ def qrels(spark, sf) -> DataFrame:
     )
 
 
+def title_qrels(spark, sf) -> DataFrame:
+    """``(lang, qid, docid, rel)``: labelled documents judged for a page of their language.
+
+    A page is the topic of the documents with its number modulo the number of topics.
+    """
+    judged = qrels(spark, sf).where(F.col("rel") > 0)
+    langs = corpus_by_lang(spark, sf).select("lang", "docid")
+    topics_ = title_queries(spark, sf).select("lang", "qid")
+    return judged.join(langs, "docid").join(topics_, ["lang", "qid"]).select("lang", "qid", "docid", "rel")
+
+
 def topics(spark, sf) -> DataFrame:
     """One topic per labelled document; it is its own positive or negative passage, or null."""
     docs = table(spark, sf, "documents").select("doc_id", "text")

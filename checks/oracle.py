@@ -378,6 +378,23 @@ ORACLE: dict[str, str] = {
         count(*) AS queries, round(1000 * sum(value) / count(*), 6) AS mean_ms FROM events GROUP BY ALL)
       SELECT coalesce(m.run_id, l.run_id) AS run_id, recall_at_10, ndcg_at_10, queries, mean_ms
       FROM m FULL JOIN l ON l.run_id = m.run_id""",
+    "run_benchmark": f"""WITH {TITLES}, {COLLECTION.replace('docs AS', 'pdocs AS').replace('FROM docs d', 'FROM pdocs d')},
+      {_bm25(100, '', 'lang').lstrip(', ').replace('FROM documents),', "FROM pdocs JOIN evecs USING (pos)),", 1)},
+      dvecs AS (SELECT lang, docid_col AS docid, dense_col AS vec FROM loaded), {VECS},
+      dense AS (SELECT q.lang, q.qid, d.docid, row_number() OVER (PARTITION BY q.qid
+          ORDER BY round({_dist('v.vec', 'd.vec')}, 6), d.docid) AS rank
+        FROM queries q JOIN vecs v ON v.docid = q.qid JOIN dvecs d ON d.lang = q.lang QUALIFY rank <= 100),
+      {QRELS}, tq AS (SELECT d.lang, r.qid, r.docid, r.rel FROM qrels r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.docid
+        JOIN queries q ON q.lang = d.lang AND q.qid = r.qid WHERE rel > 0),
+      runs AS (SELECT lang, 'bm25' AS t, qid, docid, rank FROM bm25 UNION ALL SELECT lang, 'dense', qid, docid, rank FROM dense),
+      sums AS (SELECT r.lang, r.t, r.qid, count(*) AS hits, sum(rel / log2(rank + 1)) AS dcg
+        FROM runs r JOIN tq USING (lang, qid, docid) WHERE rank <= 10 GROUP BY ALL),
+      ideal AS (SELECT lang, qid, count(*) AS nrel, sum(rel / log2(rn + 1)) FILTER (WHERE rn <= 10) AS idcg FROM (SELECT *,
+        row_number() OVER (PARTITION BY lang, qid ORDER BY rel DESC, docid) AS rn FROM tq) GROUP BY ALL),
+      report AS (SELECT i.lang, x.t, round(avg(coalesce(s.hits / i.nrel, 0)), 6) AS recall_at_10, round(avg(coalesce(s.dcg / i.idcg, 0)), 6) AS ndcg_at_10
+        FROM ideal i CROSS JOIN (SELECT unnest(['bm25', 'dense']) AS t) x LEFT JOIN sums s ON s.lang = i.lang AND s.qid = i.qid AND s.t = x.t GROUP BY ALL)
+      SELECT lang || '_' || t AS run_id, recall_at_10, ndcg_at_10, CAST((SELECT count(*) FROM queries q WHERE q.lang = report.lang) AS BIGINT) AS queries
+      FROM report WHERE lang IN ('de', 'en')""",
     "ann_recall": f"""WITH {VECS}, {QUERIES}, {CELLS}, {_ann(10)}, dense AS (SELECT q.qid, v.docid,
         row_number() OVER (PARTITION BY q.qid ORDER BY round({_dist('q.qvec', 'v.vec')}, 6), v.docid) AS rank
         FROM qvecs q CROSS JOIN vecs v QUALIFY rank <= 10),
@@ -391,6 +408,10 @@ ORACLE: dict[str, str] = {
     "stream_search": f"WITH {_bm25(100)} SELECT qid, docid, score, rank, 'bm25' AS query_type FROM bm25",
     # encoders
     "encode_corpus": _encoded("documents", "doc_id"),
+    "generate_vectors": f"""WITH entries AS ({_encoded('documents', 'doc_id')}),
+      norms AS (SELECT docid, sqrt(sum(val * val)) AS norm FROM entries GROUP BY docid), {POSITIONED}
+      SELECT pos, dim, round(CAST(val / norm AS FLOAT)::DOUBLE, 4) AS val FROM entries JOIN norms USING (docid)
+      JOIN docs ON CAST(doc_id AS VARCHAR) = docid""",
     "encode_queries": _encoded("benchmark", "item_id").replace("docid", "qid"),
     "encode_multivector": f"""SELECT conv_id, turn, CAST(tok AS BIGINT) AS tok, dim, CAST(sign AS DOUBLE) AS val FROM
       (SELECT conv_id, turn, tok, {_hash('token', 16)} FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS tok, token

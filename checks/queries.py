@@ -17,7 +17,9 @@ from gleaner.operators import rerank, routing, vectorsearch
 from gleaner.operators.explain import explain_query
 from gleaner.operators.topk import rounded, top_k
 from gleaner.plans import load, maintenance
-from gleaner.plans.experiment import Collection, run_experiment
+from gleaner.plans.benchmark import run_benchmark
+from gleaner.plans.embed import generate_vectors
+from gleaner.plans.experiment import Collection, open_collection, run_experiment
 from gleaner.plans.workspace import fresh_dir, stored
 from gleaner.sources import corpus as C
 from gleaner.sources import trec
@@ -804,6 +806,21 @@ def final_report(spark, sf):
     return evaluate.final_report(metrics, latencies)
 
 
+@query
+def run_benchmark_(spark, sf):
+    """Load, search, write, read back and judge; the time column is left out."""
+    table = load.read_collection(spark, loaded_collection(spark, sf))
+    docs = table.select("lang", F.col("docid_col").alias("docid"), F.col("fulltext_col").alias("text"))
+    built = fulltext.build_fulltext_index(docs, partitions=8)
+    index = fulltext.save_fulltext_index(built, "gleaner_benchmark")
+    asked = I.with_vectors(I.title_queries(spark, sf), I.vectors(spark, sf))
+    report = run_benchmark(
+        asked, open_collection(table, index), I.title_qrels(spark, sf), ["bm25", "dense"],
+        ["de", "en"], fresh_dir(spark, "benchmark"), 100,
+    )
+    return report.select("run_id", "recall_at_10", "ndcg_at_10", "queries")
+
+
 @query
 def ann_recall(spark, sf):
     exact = vectorsearch.dense_search(I.query_vectors(spark, sf), I.vectors(spark, sf), 10)
@@ -858,6 +875,17 @@ def encode_corpus(spark, sf):
     return long(vecs, "vec", "docid").where(F.col("val") != 0)
 
 
+@query
+def generate_vectors_(spark, sf):
+    docs = document_positions(spark, sf).join(I.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    made = generate_vectors(
+        docs, fresh_dir(spark, "vectors"), "en", "hashing-64", HashingEncoder, normalize=True
+    )
+    rows = long(made, "vec", "pos").where(F.col("val") != 0)
+    # Stored as 32-bit floats: compare four decimals.
+    return rows.withColumn("val", F.round("val", 4))
+
+
 @query
 def encode_queries(spark, sf):
     vecs = encode.encode_queries(I.queries(spark, sf), HashingEncoder)

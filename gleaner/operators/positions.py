@@ -17,7 +17,7 @@ def assign_positions(
 ) -> DataFrame:
     """``df`` with a gap-free 0-based ``pos`` in the order of ``order_by``.
 
-    ``order_by`` must identify a row. Only the order columns are sorted: they are
+    ``order_by`` must identify a row and hold no nulls. Only the order columns are sorted: they are
     range-partitioned and written once, so a lost executor cannot change the
     ranges; the start of every range comes from one count per range; the
     positions then join back to the wide rows.

@@ -1,4 +1,4 @@
-"""Shared working folder for written tables, streams and reliable checkpoints."""
+"""Shared working folder for written tables and streams."""
 
 from __future__ import annotations
 
@@ -25,8 +25,7 @@ def shared_root(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="gleaner-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(root)  # the next call finds the same folder
     return root
 
 
@@ -35,16 +34,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
-    Columnar, so later readers still get column pruning and filter pushdown.
+    Cuts the lineage at a place that outlives executors. Columnar, so later
+    readers still get column pruning and filter pushdown.
     """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)

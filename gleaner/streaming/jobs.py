@@ -77,6 +77,8 @@ def stream_load(
         rows = batch.join(vectors, "docid")
         target = f"{out}/rows/batch_id={batch_id}"
         loaded, error = 0, None
+        # Checked, counted and written: kept for the micro-batch, recomputable if lost.
+        batch.persist()
         try:
             if check is not None:
                 check(batch)
@@ -88,6 +90,8 @@ def stream_load(
             loaded = spark.read.parquet(target).count()
         except Exception as problem:  # one bad batch must not stop the load
             error = f"{type(problem).__name__}: {problem}".splitlines()[0]
+        finally:
+            batch.unpersist()
         report = spark.createDataFrame([(loaded, error)], "n_rows bigint, error string")
         report.write.mode("overwrite").parquet(f"{out}/report/batch_id={batch_id}")
 
