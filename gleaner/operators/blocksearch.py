@@ -100,6 +100,7 @@ def block_scores(
     routed = cell is not None
     multi = metric in ("maxsim", "equal_bits")
     extra = [F.col(cell).alias("cell")] if routed else []
+    # A query may bring columns of the other kind of vector; only these are read.
     queries = queries.select("qid", "qvec", *extra).where(F.size("qvec") > 0)
     docs = docs.select("docid", "dvec", *extra).where(F.size("dvec") > 0)
     qid_type, docid_type = queries.schema["qid"], docs.schema["docid"]

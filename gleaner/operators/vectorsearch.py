@@ -47,18 +47,28 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2")
     return dense_search(queries, vectors, k, metric).withColumnRenamed("score", "distance")
 
 
-def maxsim_search(queries: DataFrame, multivecs: DataFrame, k: int = MAX_HITS) -> DataFrame:
+def maxsim_search(
+    queries: DataFrame,
+    multivecs: DataFrame,
+    k: int = MAX_HITS,
+    query_broadcast_rows: int = QUERY_BROADCAST_ROWS,
+) -> DataFrame:
     """Late interaction: sum over query tokens of the best inner product.
 
     ``queries`` has ``qid, qvecs``, ``multivecs`` has ``docid, vecs``; both are
-    arrays of token vectors.
+    arrays of token vectors. Queries with a ``lang`` column stay in their language.
     """
+    routed = "lang" in queries.columns
     hits = block_search(
         queries.withColumnRenamed("qvecs", "qvec"),
         multivecs.withColumnRenamed("vecs", "dvec"),
         k,
         "maxsim",
+        "lang" if routed else None,
+        query_broadcast_rows,
     )
+    if routed:
+        return _routed(hits, queries)
     return hits.select("qid", "docid", "score", "rank")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs as pafs
@@ -69,8 +70,8 @@ class PartCommit:
             for path, _ in data_files(self.path):
                 if path not in final:
                     filesystem.delete_file(path)
-        for old, new in moves:
-            filesystem.move(old, new)
+        with ThreadPoolExecutor(16) as pool:  # renames wait for the storage, not for us
+            list(pool.map(lambda move: filesystem.move(*move), moves))
         with filesystem.open_output_stream(posixpath.join(target, "_SUCCESS")):
             pass
 

@@ -12,6 +12,7 @@ All numbers are little-endian. Register with :func:`register`, then use
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,8 @@ def read_vector(handle, value_type: str, path: str, mode: str) -> np.ndarray | N
 class FileReader(DataSourceReader):
     """Base of the formats with variable-length records: every file is one task."""
 
+    rows_per_batch = 512
+
     def __init__(self, options: dict):
         self.path = options["path"]
         self.mode = _check_mode(options.get("ontruncated", "fail"))
@@ -186,15 +189,22 @@ class FileReader(DataSourceReader):
         spans = [Span(p, s, 0, -1, i * FILE_STRIDE, -1) for i, (p, s) in enumerate(files) if s]
         return spans or [Span("", 0, 0, 0, 0, 0)]
 
-    def read(self, span: Span) -> Iterator[tuple]:
+    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         if not span.path:
             return
         filesystem, _ = resolve(self.path)
         with filesystem.open_input_stream(span.path, buffer_size=1 << 20) as handle:
-            for number, value in enumerate(self.records(handle, span.path)):
-                yield (span.first_pos + number, *value)
+            records = self.records(handle, span.path)
+            first = span.first_pos
+            while rows := list(islice(records, self.rows_per_batch)):
+                pos = pa.array(np.arange(first, first + len(rows), dtype=np.int64))
+                yield self.batch(pos, rows)
+                first += len(rows)
+
+    def records(self, handle, path: str) -> Iterator:
+        raise NotImplementedError
 
-    def records(self, handle, path: str) -> Iterator[tuple]:
+    def batch(self, pos: pa.Array, rows: list) -> pa.RecordBatch:
         raise NotImplementedError
 
     def cut(self, path: str) -> None:
@@ -202,8 +212,13 @@ class FileReader(DataSourceReader):
             raise TruncatedFile(f"{path} ends inside a record")
 
 
+def _lists(values: pa.Array, lengths: list[int]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
 class MultiVectorReader(FileReader):
-    def records(self, handle, path: str) -> Iterator[tuple]:
+    def records(self, handle, path: str) -> Iterator[list[np.ndarray]]:
         while header := handle.read(4):
             if len(header) < 4:
                 return self.cut(path)
@@ -212,12 +227,23 @@ class MultiVectorReader(FileReader):
                 vector = read_vector(handle, "<f4", path, self.mode)
                 if vector is None:
                     return self.cut(path)
-                vectors.append(vector.tolist())
-            yield (vectors,)
+                vectors.append(vector)
+            yield vectors
+
+    def batch(self, pos: pa.Array, rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        vectors = [v for row in rows for v in row]
+        values = np.concatenate(vectors) if vectors else np.empty(0, np.float32)
+        tokens = _lists(pa.array(values, pa.float32()), [len(v) for v in vectors])
+        return pa.RecordBatch.from_arrays(
+            [pos, _lists(tokens, [len(row) for row in rows])], names=["pos", "vecs"]
+        )
+
+
+PAIR = np.dtype([("index", "<i4"), ("value", "<f4")])
 
 
 class SparseVectorReader(FileReader):
-    def records(self, handle, path: str) -> Iterator[tuple]:
+    def records(self, handle, path: str) -> Iterator[np.ndarray]:
         header = _read_exact(handle, 4)
         if header is None:
             return self.cut(path)
@@ -227,8 +253,16 @@ class SparseVectorReader(FileReader):
             body = _read_exact(handle, 8 * n)
             if length is None or body is None:
                 return self.cut(path)
-            pairs = np.frombuffer(body, np.dtype([("index", "<i4"), ("value", "<f4")]))
-            yield (pairs["index"].tolist(), pairs["value"].tolist())
+            yield np.frombuffer(body, PAIR)
+
+    def batch(self, pos: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, lengths = np.concatenate(rows), [len(row) for row in rows]
+        indices = pa.array(np.ascontiguousarray(pairs["index"]), pa.int32())
+        values = pa.array(np.ascontiguousarray(pairs["value"]), pa.float32())
+        return pa.RecordBatch.from_arrays(
+            [pos, _lists(indices, lengths), _lists(values, lengths)],
+            names=["pos", "indices", "values"],
+        )
 
 
 class PartWriter(DataSourceArrowWriter):

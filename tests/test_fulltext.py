@@ -146,3 +146,18 @@ def test_planted_passages_are_found(spark, sf):
     run = fulltext.bm25_search(I.queries(spark, sf), fulltext.build_fulltext_index(I.corpus(spark, sf)), 10)
     found = {(q, d) for q, d in rows(run, "qid", "docid")}
     assert pairs and set(pairs) <= found
+
+
+def test_a_third_of_all_documents_being_copies_changes_nothing(spark):
+    """Hot terms and tied scores: all copies score alike and rank by docid."""
+    copies = [(f"c{i:03d}", "red fish red") for i in range(60)]
+    others = [(f"o{i:03d}", f"blue sky word{i}" + (" red" if i % 7 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(copies + others, "docid string, text string").repartition(9)
+    queries = spark.createDataFrame([("q1", "red fish"), ("q2", "word7 red")], "qid string, query string")
+    index = fulltext.build_fulltext_index(docs)
+    got = rows(fulltext.bm25_search(queries, index, 200), "qid", "docid", "score")
+    want = [("q1", d, s) for d, s in brute_bm25(["red", "fish"], copies + others).items()]
+    want += [("q2", d, s) for d, s in brute_bm25(["word7", "red"], copies + others).items()]
+    assert got == sorted(want)
+    top = rows(fulltext.bm25_search(queries.where("qid = 'q1'"), index, 10), "rank", "docid")
+    assert sorted(top) == [(i + 1, f"c{i:03d}") for i in range(10)]
