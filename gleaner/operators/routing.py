@@ -23,8 +23,7 @@ def route_by_language(queries: DataFrame, collection: DataFrame) -> DataFrame:
     here; the searches route by joining on ``lang`` together with the term or cell.
     """
     sizes = collection.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
-    # At most one row per language.
-    return queries.join(F.broadcast(sizes), "lang", "left").select(
+    return queries.join(sizes, "lang", "left").select(
         *queries.columns,
         F.concat(F.lit(COLLECTION_PREFIX), F.col("lang")).alias("collection"),
         F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_docs"),
