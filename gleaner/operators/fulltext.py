@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.constants import BM25_B, BM25_K1, MAX_HITS, TOKEN_MAX_LEN, TOKEN_MIN_LEN
-from gleaner.operators.bounds import salted_join, small_table
+from gleaner.operators.bounds import local_rows, salted_join, small_table
 from gleaner.operators.topk import query_keys, rounded, top_k
 from gleaner.plans.workspace import fresh_dir
 
@@ -97,6 +97,8 @@ def build_fulltext_index(
         .agg(n.alias("n"), (F.sum("dl") / F.nullif(n, F.lit(0))).alias("avgdl"))
         .where(F.col("n") > 0)
     )
+    if "lang" not in docs.columns:
+        corpus_stats = F.broadcast(corpus_stats)  # one collection, one row
     return FullTextIndex(postings, doc_lengths, _doc_freqs(postings), corpus_stats, partitions)
 
 
@@ -141,11 +143,13 @@ def save_fulltext_index(
 
 def open_fulltext_index(spark: SparkSession, name: str, root: str) -> FullTextIndex:
     """Index written by :func:`save_fulltext_index`."""
+    written = spark.read.parquet(f"{root}/corpus_stats")
+    few = local_rows(written, MAX_COLLECTIONS)
     return FullTextIndex(
         spark.table(f"{name}_postings"),
         spark.read.parquet(f"{root}/doc_lengths"),
         spark.read.parquet(f"{root}/doc_freqs"),
-        spark.read.parquet(f"{root}/corpus_stats"),
+        written if few is None else few,
     )
 
 
@@ -160,6 +164,8 @@ def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
 
 # Terms a pushed-down filter may list.
 PUSHED_TERMS = 2_000
+# Collections whose statistics may travel as a local table.
+MAX_COLLECTIONS = 10_000
 
 
 def _weighted_terms(terms: DataFrame, doc_freqs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -177,9 +183,7 @@ def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
     shuffled. A larger query side is joined by shuffle with salted terms, because
     a term may occur in a third of all documents.
     """
-    # At most one row per language.
-    stats = F.broadcast(index.corpus_stats)
-    postings, doc_freqs = index.postings, index.doc_freqs
+    postings, doc_freqs, stats = index.postings, index.doc_freqs, index.corpus_stats
     few = small_table(terms)
     if few is not None:
         vocabulary = few.column("term").unique().to_pylist()
