@@ -22,33 +22,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Equal for equal edge sets; the edge table itself stays on the executors."""
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-        F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return tuple(row)
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node either hangs on exactly one other node or has nodes hanging on it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return roles.where("hangs + holds > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(u, v)``; ``component`` is the smallest reachable node.
+    """``(node, component)`` for every end of ``edges(u, v)``; ``component`` is the smallest reachable node.
 
-    Edges with a null end are left out, loops only name their node. A star stays a
-    star, so the usual input settles in two rounds; each round is written to the
+    Loops and edges with a null end are left out. Each round is written to the
     shared folder, which cuts the lineage at a place that outlives executors.
     """
-    real = edges.where("u is not null and v is not null")
-    nodes = real.select(F.col("u").alias("node")).union(real.select("v")).distinct()
-    now = stored(real.select("u", "v").where("u != v").distinct(), "edges")
-    seen = _fingerprint(now)
-    while seen[0]:
-        now = stored(_small_star(_large_star(now)), "edges")
-        after = _fingerprint(now)
-        if after == seen:
-            break
-        seen = after
-    return nodes.join(now.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select(
-        "node", F.coalesce("root", "node").alias("component")
-    )
+    real = edges.where("u is not null and v is not null and u != v")
+    stars = stored(real.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _is_star_forest(stars):
+        stars = stored(_small_star(_large_star(stars)), "edges")
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())

@@ -14,10 +14,10 @@ binary search for the candidates so found.
 * **Copies.** Documents with equal sets are one node; they never meet each other.
 * **Short lists** become rows ``(n-gram, document)``. Lists of one entry go. Lists of up to
   ``SMALL_LIST`` entries yield their pairs, at most ``SMALL_LIST / 2`` per row.
-* **Hot lists** yield one pair per entry, with the list's leader. Entries that the
-  verified links have not put in one group are asked again: with new leaders while
-  that is cheaper, then all remaining pairs of *different* groups. No pair that could
-  change a group is left out, and a group of copies costs its size, not its square.
+* **Hot lists** first yield the pairs of each entry with a few leaders. Verified links
+  put most entries of a list in one group; if many groups are left, more leaders follow.
+  In the end all remaining pairs of *different* groups are compared: no pair that could
+  change a group is left out, while a group of copies costs its size, not its square.
 * **Probing** streams over the pairs of one document at a time and runs the
   division again over the real lists of the candidates.
 
@@ -40,7 +40,10 @@ from gleaner.plans.workspace import stored
 SLOTS = 1 << 16
 SMALL_LIST = 16
 PROBE_ROWS = 256  # candidates whose lists are merged at once
-CROSS_FACTOR = 8  # all pairs of different groups once they are at most so many times the rows
+PROBE_LISTS = 64  # long lists probed between two checks of what a candidate can still reach
+LEADERS = 8  # of a longer list, in the first round
+MORE_LEADERS = 64  # in the second, which long lists of many groups get
+CROSS_FACTOR = 4  # no second round if the pairs of different groups are at most so many times the rows
 
 
 def _row_grams(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -140,26 +143,27 @@ def t_occurrence(query: np.ndarray, lists: list[np.ndarray], percent: int) -> np
     sizes = np.array([len(x) for x in lists])
     need = -((-percent * (sizes + len(query))) // (100 + percent))  # T of each candidate
     tokens, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes)
-    order = np.lexsort((owner, tokens))
-    tokens, owner = tokens[order], owner[order]
-    low, high = np.searchsorted(tokens, query, "left"), np.searchsorted(tokens, query, "right")
-    by_length = np.argsort(high - low, kind="stable")
-    longest = max(1, int((high - low).max(initial=0)))
-    n_long = min(len(query), int(need.min() / (1 + 0.1 * np.log2(longest + 1))))
-    n_long = min(n_long, int(need.min()) - 1)
+    place = np.minimum(np.searchsorted(query, tokens), len(query) - 1)
+    known = query[place] == tokens  # entries of the inverted lists of the query's tokens
+    n = len(lists)
+    entries = np.sort(place[known] * n + owner[known])  # by list, then by candidate
+    length = np.bincount(entries // n, minlength=len(query))
+    by_length = np.argsort(length, kind="stable")
+    least = int(need.min())
+    n_long = min(int(least / (1 + 0.1 * np.log2(length.max() + 1))), least - 1, len(query))
     short, long = by_length[: len(query) - n_long], by_length[len(query) - n_long :]
-    spans = [owner[low[i] : high[i]] for i in short]  # merged short lists: an occurrence count per candidate
-    hits = np.bincount(np.concatenate(spans), minlength=len(lists)) if spans else np.zeros(len(lists), int)
+    in_short = np.zeros(len(query), dtype=bool)
+    in_short[short] = True
+    hits = np.bincount(entries[in_short[entries // n]] % n, minlength=n)  # merged short lists
     alive = np.flatnonzero(hits >= need - n_long)
-    for j, i in enumerate(long):  # long lists: binary search for the candidates that can still reach T
-        part = owner[low[i] : high[i]]
+    for i in range(0, n_long, PROBE_LISTS):  # long lists: binary search for candidates that can still reach T
         if not len(alive):
             break
-        at = np.searchsorted(part, alive)
-        found = at < len(part)
-        found[found] = part[at[found]] == alive[found]
-        hits[alive[found]] += 1
-        alive = alive[hits[alive] + (n_long - j - 1) >= need[alive]]
+        some = long[i : i + PROBE_LISTS]
+        asked = (some[:, None] * n + alive[None, :]).ravel()
+        at = np.minimum(np.searchsorted(entries, asked), max(0, len(entries) - 1))
+        hits[alive] += (entries[at] == asked).reshape(len(some), -1).sum(axis=0) if len(entries) else 0
+        alive = alive[hits[alive] + (n_long - i - len(some)) >= need[alive]]
     return hits >= need
 
 
@@ -218,54 +222,33 @@ def jaccard_components(
         table.join(named, (table.sig == named.sig) & (table.id == named.rep), "left_semi").select("id", "size", "short"),
         "ngram-reps",
     )
-    entries = reps.select(F.explode("short").alias("gram"), "id", "size")
-    listed = entries.groupBy("gram").agg(
-        F.count("*").alias("m"), F.min(F.struct("size", "id")).alias("lead")
-    )
-    shared = stored(entries.join(listed.where("m > 1"), "gram"), "ngram-lists")
+    shared = stored(_repeated(reps.select(F.explode("short").alias("gram"), "id", "size")), "ngram-shared")
+    counted = shared.join(shared.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")
+    lists = stored(counted, "ngram-lists")
 
-    small, hot = shared.where(F.col("m") <= SMALL_LIST), shared.where(F.col("m") > SMALL_LIST)
-    x, y = small.alias("x"), small.alias("y")
-    from_small = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & _fits("x.size", "y.size", percent))
-    from_small = from_small.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = stored(from_small.union(_to_leader(hot, percent)).distinct(), "ngram-pairs")
+    small, hot = lists.where(F.col("m") <= SMALL_LIST), lists.where(F.col("m") > SMALL_LIST)
+    pairs = stored(_all_pairs(small, percent).union(_to_leaders(hot, LEADERS, percent)).distinct(), "ngram-pairs")
     links = _links(docs, id_col, text_col, pairs, n, rank, percent).union(_same_id(table, named))
     groups = stored(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "ngram-groups")
 
-    left = hot.where(F.col("id") != F.col("lead.id")).select("gram", "id", "size")
-    while True:
-        left = left.join(groups, left.id == groups.node, "left").select(
+    for leaders in (MORE_LEADERS, None):  # None: all pairs of different groups that are left
+        left = hot.join(groups, hot.id == groups.node, "left").select(
             "gram", "id", "size", F.coalesce("component", "id").alias("own")
         )
-        by_group = left.groupBy("gram", "own").agg(F.count("*").alias("k"), F.min(F.struct("size", "id")).alias("lead"))
-        lists = by_group.groupBy("gram").agg(
-            F.sum("k").alias("m"),
-            F.sum(F.expr("double(k) * k")).alias("same"),
-            F.count("*").alias("owners"),
-            F.max(F.struct("k", "lead.size", "lead.id", "own")).alias("lead"),  # of the largest group
-        )
-        left = stored(left.join(lists.where("owners > 1").select("gram", "m", "same", "lead"), "gram"), "ngram-left")
-        rows, cross = left.agg(F.count("*"), F.sum(F.expr("(m - same / m) / 2"))).first()
-        if not rows:
+        by_group = left.groupBy("gram", "own").agg(F.count("*").alias("k"))
+        apart = by_group.groupBy("gram").agg(F.expr("(pow(sum(k), 2) - sum(pow(k, 2))) / 2").alias("cross"))
+        apart = stored(apart.where("cross > 0"), "ngram-apart")
+        cross = apart.agg(F.sum("cross")).first()[0] or 0
+        if not cross:
             break
-        if cross <= CROSS_FACTOR * rows:
-            x, y = left.alias("x"), left.alias("y")
-            more = x.join(
-                y,
-                (F.col("x.gram") == F.col("y.gram"))
-                & (F.col("x.id") < F.col("y.id"))
-                & (F.col("x.own") != F.col("y.own"))
-                & _fits("x.size", "y.size", percent),
-            ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            more = _to_leader(left.where("own != lead.own"), percent)
+        if leaders and cross <= CROSS_FACTOR * shared.count():
+            continue
+        left = left.join(apart.select("gram"), "gram", "left_semi")
+        more = _to_leaders(left, leaders, percent) if leaders else _all_pairs(left, percent)
         more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
         links = links.union(_links(docs, id_col, text_col, more, n, rank, percent))
         pairs = pairs.union(more)
         groups = stored(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "ngram-groups")
-        if cross <= CROSS_FACTOR * rows:
-            break
-        left = left.where(F.col("id") != F.col("lead.id")).select("gram", "id", "size")
 
     rows = table.select("id", "size", "sig").join(named, "sig", "left")
     rows = rows.join(groups, rows.rep == groups.node, "left")
@@ -283,11 +266,51 @@ def _same_id(table: DataFrame, named: DataFrame) -> DataFrame:
     return rows.join(apart, "id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def _to_leader(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a hot list's entries with its leader, whose sizes allow a link."""
-    rows = lists.where(F.col("id") != F.col("lead.id")).where(_fits("size", "lead.size", percent))
-    rows = rows.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
-    return rows.distinct()
+def _repeated(entries: DataFrame) -> DataFrame:
+    """Entries of lists with more than one entry.
+
+    Sorted by range of (n-gram, id), so a hot list spreads over several tasks. Each task
+    looks at neighbouring rows only; its first and last row stay, as their list may go on elsewhere.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None  # the last row, and the n-gram before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            gram = rows.column("gram").to_numpy()
+            same = gram[1:] == gram[:-1]
+            keep = np.r_[before is None or before == gram[0], same]
+            keep[:-1] |= same
+            held = rows.slice(len(gram) - 1).to_batches()[0]
+            before = gram[-2] if len(gram) > 1 else before
+            yield from rows.slice(0, len(gram) - 1).filter(pa.array(keep[:-1])).to_batches()
+        if held is not None:
+            yield held
+
+    spread = entries.repartitionByRange("gram", "id").sortWithinPartitions("gram")
+    return spread.mapInArrow(look, entries.schema)
+
+
+def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entries of a list whose sizes allow a link, of different groups if those are given."""
+    x, y = lists.alias("x"), lists.alias("y")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & _fits("x.size", "y.size", percent)
+    if "own" in lists.columns:
+        on = on & (F.col("x.own") != F.col("y.own"))
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _to_leaders(lists: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs of each entry with at most ``n`` leaders of its list, as ``_all_pairs``."""
+    own = [c for c in lists.columns if c == "own"]
+    lead = F.min(F.struct("size", "id", *own)).alias("lead")
+    leads = lists.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(n)).alias("slot")).agg(lead).select("gram", "lead")
+    rows = lists.join(leads, "gram").where(F.col("id") != F.col("lead.id")).where(_fits("size", "lead.size", percent))
+    if own:
+        rows = rows.where("own != lead.own")
+    return rows.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
 
 
 def _links(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, n: int, rank, percent: int) -> DataFrame:
