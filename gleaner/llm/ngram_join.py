@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.llm.graph import components
+from gleaner.llm.sides import checked_broadcast
 from gleaner.llm.wordhash import BLANKS, cut_words, hash_runs, hash_words, mix, text_slices
 from gleaner.plans.workspace import stored
 
@@ -122,20 +123,9 @@ def _sets(docs: DataFrame, id_col: str, text: str, n: int, rank, percent: int) -
     return pair.mapInArrow(build, "id long, size long, sig binary, short array<long>")
 
 
-def _full_sets(docs: DataFrame, id_col: str, text: str, ids: DataFrame, n: int, rank) -> DataFrame:
-    """``(id, tokens)`` of the documents named by ``ids(id)``: all n-grams, rare ones first."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, grams, bounds in _row_grams(batch.column(1), n):
-                grams = _ordered(grams, rank.value)
-                parts = [np.unique(grams[low:high]) for low, high in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(parts)), _as_lists(parts)], ["id", "tokens"]
-                )
-
-    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).join(ids, "id", "left_semi")
-    return pair.mapInArrow(build, "id long, tokens array<long>")
+def _whole_sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text."""
+    return [np.unique(grams[i:j]) for _, grams, at in _row_grams(column, n) for i, j in zip(at[:-1], at[1:])]
 
 
 def t_occurrence(query: np.ndarray, lists: list[np.ndarray], percent: int) -> np.ndarray:
@@ -167,29 +157,34 @@ def t_occurrence(query: np.ndarray, lists: list[np.ndarray], percent: int) -> np
     return hits >= need
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows ``(a, b)`` of ``pairs`` whose sets link."""
+def _links(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows ``(a, b)`` of ``pairs`` whose documents link; written.
+
+    The texts travel, not their n-grams, which take more room.
+    """
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            a, b = whole.column("a").to_numpy(), whole.column("b").to_numpy()
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
             keep = np.zeros(len(a), dtype=bool)
-            mine, other = whole.column("mine"), whole.column("other")
-            cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else []
-            for start, end in zip(cuts, [*cuts[1:], len(a)]):
-                query = mine[int(start)].values.to_numpy().view(np.uint64)
+            cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            queries = _whole_sets(rows.column("mine").take(pa.array(cuts)), n)
+            lists = _whole_sets(rows.column("other"), n)
+            for query, start, end in zip(queries, cuts, [*cuts[1:], len(a)]):
                 for i in range(start, end, PROBE_ROWS):
                     stop = min(end, i + PROBE_ROWS)
-                    lists = [other[int(j)].values.to_numpy().view(np.uint64) for j in range(i, stop)]
-                    keep[i:stop] = t_occurrence(query, lists, percent)
+                    keep[i:stop] = t_occurrence(query, lists[i:stop], percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    wide = (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("other")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("mine")), "a")
-        .select("a", "b", "mine", "other")
-    )
-    return wide.mapInArrow(probe, "a long, b long")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = checked_broadcast(stored(ids, "ngram-ids"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    wide = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("other")), "b")
+    wide = wide.join(texts.select(F.col("id").alias("a"), F.col("t").alias("mine")), "a")
+    wide = wide.select("a", "b", "mine", "other")
+    return stored(wide.mapInArrow(probe, "a long, b long"), "ngram-links")
 
 
 def _fits(x: str, y: str, percent: int):
@@ -218,17 +213,15 @@ def jaccard_components(
     rank = spark.sparkContext.broadcast(gram_slots(docs, text_col, n, slots))  # 8 bytes a slot
     table = stored(_sets(docs, id_col, text_col, n, rank, percent), "ngram-sets")
     named = table.where("id is not null and size > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    reps = stored(
-        table.join(named, (table.sig == named.sig) & (table.id == named.rep), "left_semi").select("id", "size", "short"),
-        "ngram-reps",
-    )
+    copies = stored(table.where("id is not null").join(named, "sig").where("id != rep").select("id", "sig"), "ngram-copies")
+    reps = table.where("id is not null").join(checked_broadcast(copies), ["id", "sig"], "left_anti")
     shared = stored(_repeated(reps.select(F.explode("short").alias("gram"), "id", "size")), "ngram-shared")
     counted = shared.join(shared.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")
     lists = stored(counted, "ngram-lists")
 
     small, hot = lists.where(F.col("m") <= SMALL_LIST), lists.where(F.col("m") > SMALL_LIST)
     pairs = stored(_all_pairs(small, percent).union(_to_leaders(hot, LEADERS, percent)).distinct(), "ngram-pairs")
-    links = _links(docs, id_col, text_col, pairs, n, rank, percent).union(_same_id(table, named))
+    links = _links(docs, id_col, text_col, pairs, n, percent).union(_same_id(table, named))
     groups = stored(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "ngram-groups")
 
     for leaders in (MORE_LEADERS, None):  # None: all pairs of different groups that are left
@@ -246,7 +239,7 @@ def jaccard_components(
         left = left.join(apart.select("gram"), "gram", "left_semi")
         more = _to_leaders(left, leaders, percent) if leaders else _all_pairs(left, percent)
         more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
-        links = links.union(_links(docs, id_col, text_col, more, n, rank, percent))
+        links = links.union(_links(docs, id_col, text_col, more, n, percent))
         pairs = pairs.union(more)
         groups = stored(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "ngram-groups")
 
@@ -313,12 +306,6 @@ def _to_leaders(lists: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
 
 
-def _links(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, n: int, rank, percent: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(_full_sets(docs, id_col, text, ids, n, rank), "ngram-tokens")
-    return stored(_verify(pairs, sets, percent), "ngram-links")
-
-
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest id stays.
 
