@@ -14,10 +14,11 @@ binary search for the candidates so found.
 * **Copies.** Documents with equal sets are one node; they never meet each other.
 * **Short lists** become rows ``(n-gram, document)``. Lists of one entry go. Lists of up to
   ``SMALL_LIST`` entries yield their pairs, at most ``SMALL_LIST / 2`` per row.
-* **Hot lists** first yield the pairs of each entry with a few leaders. Verified links
-  put most entries of a list in one group; if many groups are left, more leaders follow.
-  In the end all remaining pairs of *different* groups are compared: no pair that could
-  change a group is left out, while a group of copies costs its size, not its square.
+* **Hot lists** come from families of near copies. Each list names one leader, the entry that
+  is in most hot lists, so a family has few. A member is described by its difference from the leader: a
+  bit per n-gram of the leader, and the n-grams the leader lacks. Members meet in blocks of bounded
+  size, where bit products give the shared n-grams of all pairs at once; a block yields
+  a spanning forest of its links, never its pairs.
 * **Probing** streams over the pairs of one document at a time and runs the
   division again over the real lists of the candidates.
 
@@ -42,10 +43,9 @@ SLOTS = 1 << 16
 SMALL_LIST = 16
 PROBE_ROWS = 256  # candidates whose lists are merged at once
 PROBE_LISTS = 64  # long lists probed between two checks of what a candidate can still reach
-LEADERS = 8  # of a longer list, in the first round
-MORE_LEADERS = 64  # in the second, which long lists of many groups get
-CROSS_FACTOR = 4  # no second round if the pairs of different groups are at most so many times the rows
-
+PROBE_BATCH = 1000  # rows of pairs whose texts are cut at once
+FAMILY_BLOCK = 500  # about so many members of a family meet as many others in a task
+BITS = 1 << 15  # n-grams of a leader whose bits are unpacked at once
 
 def _row_grams(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, n-gram hashes, per row the number of its first hash)``; not yet distinct."""
@@ -220,29 +220,11 @@ def jaccard_components(
     lists = stored(counted, "ngram-lists")
 
     small, hot = lists.where(F.col("m") <= SMALL_LIST), lists.where(F.col("m") > SMALL_LIST)
-    pairs = stored(_all_pairs(small, percent).union(_to_leaders(hot, LEADERS, percent)).distinct(), "ngram-pairs")
+    pairs = stored(_all_pairs(small, percent).distinct(), "ngram-pairs")
     links = _links(docs, id_col, text_col, pairs, n, percent).union(_same_id(table, named))
+    links = links.union(_family_links(docs, id_col, text_col, hot, n, percent))
     groups = stored(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "ngram-groups")
 
-    for leaders in (MORE_LEADERS, None):  # None: all pairs of different groups that are left
-        left = hot.join(groups, hot.id == groups.node, "left").select(
-            "gram", "id", "size", F.coalesce("component", "id").alias("own")
-        )
-        by_group = left.groupBy("gram", "own").agg(F.count("*").alias("k"))
-        apart = by_group.groupBy("gram").agg(F.expr("(pow(sum(k), 2) - sum(pow(k, 2))) / 2").alias("cross"))
-        apart = stored(apart.where("cross > 0"), "ngram-apart")
-        cross = apart.agg(F.sum("cross")).first()[0] or 0
-        if not cross:
-            break
-        if leaders and cross <= CROSS_FACTOR * shared.count():
-            continue
-        left = left.join(apart.select("gram"), "gram", "left_semi")
-        more = _to_leaders(left, leaders, percent) if leaders else _all_pairs(left, percent)
-        more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
-        links = links.union(_links(docs, id_col, text_col, more, n, percent))
-        pairs = pairs.union(more)
-        groups = stored(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "ngram-groups")
-
     rows = table.select("id", "size", "sig").join(named, "sig", "left")
     rows = rows.join(groups, rows.rep == groups.node, "left")
     return rows.select(
@@ -287,23 +269,143 @@ def _repeated(entries: DataFrame) -> DataFrame:
 
 
 def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of entries of a list whose sizes allow a link, of different groups if those are given."""
+    """Pairs of entries of a list whose sizes allow a link."""
     x, y = lists.alias("x"), lists.alias("y")
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & _fits("x.size", "y.size", percent)
-    if "own" in lists.columns:
-        on = on & (F.col("x.own") != F.col("y.own"))
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def _to_leaders(lists: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of each entry with at most ``n`` leaders of its list, as ``_all_pairs``."""
-    own = [c for c in lists.columns if c == "own"]
-    lead = F.min(F.struct("size", "id", *own)).alias("lead")
-    leads = lists.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(n)).alias("slot")).agg(lead).select("gram", "lead")
-    rows = lists.join(leads, "gram").where(F.col("id") != F.col("lead.id")).where(_fits("size", "lead.size", percent))
-    if own:
-        rows = rows.where("own != lead.own")
-    return rows.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+def _families(hot: DataFrame) -> DataFrame:
+    """``(a, b)``: the leaders ``a`` of the hot lists with all entries ``b`` of their lists, themselves included."""
+    weight = hot.groupBy("id").agg(F.count("*").alias("weight"))
+    entries = hot.select("gram", "id").join(weight, "id")
+    lead = entries.groupBy("gram").agg(F.max("weight").alias("most"))
+    heads = entries.join(lead, "gram").where("weight = most").groupBy("gram").agg(F.min("id").alias("a"))
+    return hot.select("gram", F.col("id").alias("b")).join(heads, "gram").select("a", "b").distinct()
+
+
+def _wide(docs: DataFrame, id_col: str, text: str, pairs: DataFrame) -> DataFrame:
+    """``(a, b, mine, other)``: written pairs with the texts of both, which take less room than their n-grams."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = checked_broadcast(stored(ids, "ngram-ids"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    wide = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("other")), "b")
+    wide = wide.join(texts.select(F.col("id").alias("a"), F.col("t").alias("mine")), "a")
+    return wide.select("a", "b", "mine", "other")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """``(a, set of a, all b, their sets)`` for neighbouring rows of one ``a``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PROBE_BATCH):
+            rows = batch.slice(at, PROBE_BATCH)
+            a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            queries = _whole_sets(rows.column("mine").take(pa.array(cuts)), n)
+            others = _whole_sets(rows.column("other"), n)
+            for query, start, end in zip(queries, cuts, [*cuts[1:], len(a)]):
+                yield int(a[start]), query, b[start:end], others[start:end]
+
+
+def _links(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows ``(a, b)`` of ``pairs`` whose documents link; written."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, query, b, others in _runs(batches, n):
+            for i in range(0, len(b), PROBE_ROWS):
+                found = b[i : i + PROBE_ROWS][t_occurrence(query, others[i : i + PROBE_ROWS], percent)]
+                if len(found):
+                    yield _pairs(np.full(len(found), a), found)
+
+    return stored(_wide(docs, id_col, text, pairs).mapInArrow(probe, "a long, b long"), "ngram-links")
+
+
+def _pairs(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _family_links(docs: DataFrame, id_col: str, text: str, hot: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all entries of hot lists which links connect; written."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, leader, b, members in _runs(batches, n):
+            bits, extra = [], []
+            for tokens in members:
+                held = np.zeros(len(leader), dtype=bool)
+                at = np.minimum(np.searchsorted(leader, tokens), len(leader) - 1)
+                known = leader[at] == tokens
+                held[at[known]] = True
+                bits.append(np.packbits(held).tobytes())
+                extra.append(tokens[~known])
+            sizes = [len(tokens) for tokens in members]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a] * len(b), pa.int64()), pa.array(b), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), _as_lists(extra)],
+                ["a", "b", "size", "bits", "extra"],
+            )
+
+    families = stored(_families(hot), "ngram-families")
+    rows = _wide(docs, id_col, text, families).mapInArrow(describe, "a long, b long, size long, bits binary, extra array<long>")
+    rows = stored(rows, "ngram-members")
+    blocks = rows.groupBy("a").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(checked_broadcast(stored(blocks, "ngram-blocks")), "a")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    rows = rows.withColumn("with", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("a", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "b", "size", "bits", "extra")
+
+    def meet(table: pa.Table) -> pa.Table:
+        a, b = spanning_links(
+            table.column("b").to_numpy(), table.column("size").to_numpy(), table.column("own").to_numpy(),
+            table.column("bits").to_pylist(), table.column("extra").combine_chunks(), percent,
+        )
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stored(rows.groupBy("a", "x", "y").applyInArrow(meet, "a long, b long"), "ngram-links")
+
+
+def spanning_links(ids, sizes, own, bits: list[bytes], extra: pa.ListArray, percent: int) -> tuple[list, list]:
+    """A spanning forest of the links among members described by bits and extra n-grams.
+
+    With members of two blocks, pairs within one block are left to the task of that block.
+    """
+    shared = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    packed = np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(ids), -1)
+    for at in range(0, packed.shape[1], BITS // 8):
+        part = np.unpackbits(packed[:, at : at + BITS // 8], axis=1).astype(np.float32)
+        shared += part @ part.T
+    more = np.diff(extra.offsets.to_numpy())
+    need = -((-percent * (sizes[:, None] + sizes[None, :])) // (100 + percent))
+    sure = shared >= need
+    able = shared + np.minimum(more[:, None], more[None, :]) >= need
+    if len(set(own.tolist())) > 1:
+        apart = own[:, None] != own[None, :]
+        sure &= apart
+        able &= apart
+    np.fill_diagonal(sure, False)
+    group = np.arange(len(ids))
+    a, b = [], []
+    seen = np.zeros(len(ids), dtype=bool)
+    for i in range(len(ids)):  # trees of the sure links
+        wave = [i]
+        while wave:
+            j = wave.pop()
+            if seen[j]:
+                continue
+            seen[j] = True
+            fresh = np.flatnonzero(sure[j] & ~seen & (group != group[i]))
+            group[fresh] = group[i]
+            a += [int(ids[j])] * len(fresh)
+            b += ids[fresh].tolist()
+            wave += fresh.tolist()
+    able &= group[:, None] < group[None, :]
+    values, ends = extra.flatten().to_numpy(zero_copy_only=False), extra.offsets.to_numpy() - extra.offsets[0].as_py()
+    for i, j in np.argwhere(able):
+        if group[i] != group[j]:
+            common = len(np.intersect1d(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]], assume_unique=True))
+            if shared[i, j] + common >= need[i, j]:
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+                group[group == group[j]] = group[i]
+    return a, b
 
 
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
