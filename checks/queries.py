@@ -402,7 +402,7 @@ def chunk_documents_recursive(spark, sf):
 
 @query
 def truncate_text(spark, sf):
-    return chunking.truncate_text(I.corpus(spark, sf))
+    return chunking.truncate_text(I.corpus(spark, sf), 8192)
 
 
 @query
@@ -816,7 +816,7 @@ def run_benchmark_(spark, sf):
     asked = I.with_vectors(I.title_queries(spark, sf), I.vectors(spark, sf))
     report = run_benchmark(
         asked, open_collection(table, index), I.title_qrels(spark, sf), ["bm25", "dense"],
-        ["de", "en"], fresh_dir(spark, "benchmark"), 100,
+        ["de", "en", "es", "fr"], fresh_dir(spark, "benchmark"), 100,
     )
     return report.select("run_id", "recall_at_10", "ndcg_at_10", "queries")
 

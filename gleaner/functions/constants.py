@@ -10,15 +10,13 @@ QUERY_RESERVED_CHARS = "&|!+-–():'\"?~^"
 TOKEN_MIN_LEN = 3
 TOKEN_MAX_LEN = 84
 
-# Hits per query, rows per load batch, rows per base id, rows per load.
+# Hits per query, rows per load batch, rows per base id.
 MAX_HITS = 1000
 LOAD_BATCH_SIZE = 1000
 BASE_ID_GROUP = 500
-LOAD_ROW_CAP = 200_000
 
-# Encoder batch, token limit of an encoded passage, chunk length.
+# Encoder batch, chunk length.
 ENCODE_BATCH_SIZE = 32
-MAX_PASSAGE_TOKENS = 8192
 CHUNK_CHARS = 512
 
 # Tag of run files, prefix of collection names.

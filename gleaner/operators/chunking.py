@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.functions.constants import CHUNK_CHARS, MAX_PASSAGE_TOKENS
+from gleaner.functions.constants import CHUNK_CHARS
 
 # Where a text may be cut, best place first; then anywhere.
 BREAKS = ["\n\n", "\n", " "]
 
 
 def truncate_text(
-    df: DataFrame, col: str = "text", max_tokens: int = MAX_PASSAGE_TOKENS, out: str | None = None
+    df: DataFrame, max_tokens: int, col: str = "text", out: str | None = None
 ) -> DataFrame:
     """Texts limited to ``max_tokens`` whitespace-separated tokens."""
     return df.withColumn(out or col, T.truncated(F.col(col), max_tokens))

@@ -11,10 +11,21 @@ from gleaner.operators.bounds import local_rows, salted_join
 from gleaner.operators.topk import query_keys, rounded, top_k
 
 
+# Between language and query id in the key of a routed query.
+KEY_MARK = "\0"
+
+
+def _keyed(queries: DataFrame) -> DataFrame:
+    """Routed queries named by language and id: the same id may ask in several languages."""
+    return queries.withColumn("qid", F.concat("lang", F.lit(KEY_MARK), F.col("qid").cast("string")))
+
+
 def _routed(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits with the ``lang`` of their query; a query id belongs to one language."""
-    lang = queries.select("qid", "lang").distinct()
-    return hits.join(lang, "qid").select("lang", "qid", "docid", "score", "rank")
+    """Hits of ``_keyed`` queries with ``lang`` and ``qid`` apart again."""
+    key = F.split("qid", KEY_MARK, 2)
+    return hits.select(
+        key[0].alias("lang"), key[1].cast(queries.schema["qid"].dataType).alias("qid"), "docid", "score", "rank"
+    )
 
 
 def dense_search(
@@ -34,9 +45,8 @@ def dense_search(
         raise ValueError(f"unknown metric {metric!r}; use l2 or ip")
     routed = "lang" in queries.columns
     docs = vectors.withColumnRenamed("vec", "dvec")
-    hits = block_search(
-        queries, docs, k, metric, "lang" if routed else None, query_broadcast_rows
-    )
+    asked = _keyed(queries) if routed else queries
+    hits = block_search(asked, docs, k, metric, "lang" if routed else None, query_broadcast_rows)
     if routed:
         return _routed(hits, queries)
     return hits.select("qid", "docid", "score", "rank")
@@ -59,8 +69,9 @@ def maxsim_search(
     arrays of token vectors. Queries with a ``lang`` column stay in their language.
     """
     routed = "lang" in queries.columns
+    asked = _keyed(queries) if routed else queries
     hits = block_search(
-        queries.withColumnRenamed("qvecs", "qvec"),
+        asked.withColumnRenamed("qvecs", "qvec"),
         multivecs.withColumnRenamed("vecs", "dvec"),
         k,
         "maxsim",
@@ -76,13 +87,13 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int = MAX_HITS) -> Dat
     """Inner product over shared indices of sparse vectors.
 
     ``queries`` has ``qid, sparse`` and ``docs`` has ``docid, sparse``, both maps
-    from index to weight. Documents are moved once, whole, by docid, so the sum
-    per (query, document) and the local ranking need no further shuffle.
+    from index to weight. A document is one row: with few query entries its scores come
+    from its own row against a broadcast table, and only sums by (query, document) are shuffled.
     """
     keys = query_keys(queries)
     routed = [c for c in ("lang",) if c in queries.columns]
     query_entries = queries.select(*keys, F.explode("sparse").alias("idx", "qval"))
-    doc_entries = docs.repartition("docid").select(
+    doc_entries = docs.select(
         *routed, "docid", F.explode("sparse").alias("idx", "dval")
     )
     few = local_rows(query_entries)

@@ -19,17 +19,16 @@ def analyze_table(spark: SparkSession, table: str) -> None:
 def collect_table_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per scalar column: rows, nulls, distinct values, extremes, mean length of its text.
 
-    All columns are profiled in one scan. ``exact`` counts distinct values by
-    shuffling them, otherwise a fixed-size sketch estimates them.
+    All columns are profiled in one scan. ``exact`` counts distinct values by shuffling
+    a 64-bit hash per column and value, never the values, otherwise a fixed-size sketch estimates them.
     """
     columns = [f.name for f in df.schema.fields if isinstance(f.dataType, ST.AtomicType)]
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     per_column = [
         F.struct(
             F.lit(c).alias("column"),
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(F.col(c).isNull()).alias("n_nulls"),
-            distinct(F.col(c)).alias("n_distinct"),
+            F.approx_count_distinct(F.col(c)).alias("n_distinct"),
             F.min(c).cast("string").alias("min_value"),
             F.max(c).cast("string").alias("max_value"),
             F.round(F.avg(F.char_length(F.col(c).cast("string"))), 6).alias("avg_length"),
@@ -37,9 +36,20 @@ def collect_table_stats(df: DataFrame, exact: bool = False) -> DataFrame:
         for i, c in enumerate(columns)
     ]
     stats = df.agg(*per_column)
-    return stats.select(
+    stats = stats.select(
         F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))])).alias("s")
     ).select("s.*")
+    if not exact:
+        return stats
+    # One narrow row per column and value, summed up within tasks before it is shuffled.
+    hashed = [
+        F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("h")) for c in columns
+    ]
+    values = df.select(F.explode(F.array(*hashed)).alias("v")).select("v.*").where(F.col("h").isNotNull())
+    counts = values.distinct().groupBy("column").agg(F.count("*").alias("n"))
+    order = stats.columns
+    stats = stats.drop("n_distinct").join(counts, "column", "left")
+    return stats.withColumn("n_distinct", F.coalesce("n", F.lit(0).cast("bigint"))).select(*order)
 
 
 def compact_table(
@@ -67,7 +77,10 @@ def artifact_path(
     count: int | None = None,
 ) -> str:
     """Path that names language, model and rows, so that no stale artifact is reused."""
-    rows = f"{begin}-{end}" if begin is not None else str(count if count is not None else "all")
+    if begin is None and end is None:
+        rows = str(count if count is not None else "all")
+    else:
+        rows = f"{begin or 0}-{end if end is not None else 'end'}"
     return f"{root}/{kind}_{lang}_{rows}_{model.replace('/', '-')}"
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -68,11 +70,20 @@ def stream_load(
     """Load ``(docid, text, ...)`` as it arrives, joined to its vector by docid.
 
     Rows go to ``out/rows``, one report row per batch to ``out/report``; the
-    report is returned. A batch that raises (in ``check`` or while writing) is
-    reported with its error and skipped whole. Loading stops at ``max_rows``.
+    report is returned. A batch that ``check`` refuses is reported with its error and
+    skipped whole. Any other error - storage, memory, a lost executor - fails the micro-batch,
+    which the stream repeats from its checkpoint. Loading stops at ``max_rows``.
     """
     spark = stream.sparkSession
 
+    def _write_batch(rows: DataFrame, target: str, batch_id: int) -> int:
+        if max_rows is not None:
+            room = max(0, max_rows - _loaded_before(spark, out, batch_id))
+            if rows.count() > room:
+                rows = cap_rows(assign_positions(rows, "docid"), room).drop("pos")
+        rows.write.mode("overwrite").parquet(target)
+        return spark.read.parquet(target).count()
+
     def load(batch: DataFrame, batch_id: int) -> None:
         rows = batch.join(vectors, "docid")
         target = f"{out}/rows/batch_id={batch_id}"
@@ -81,15 +92,14 @@ def stream_load(
         batch.persist()
         try:
             if check is not None:
-                check(batch)
-            if max_rows is not None:
-                room = max(0, max_rows - _loaded_before(spark, out, batch_id))
-                if rows.count() > room:
-                    rows = cap_rows(assign_positions(rows, "docid"), room).drop("pos")
-            rows.write.mode("overwrite").parquet(target)
-            loaded = spark.read.parquet(target).count()
-        except Exception as problem:  # one bad batch must not stop the load
-            error = f"{type(problem).__name__}: {problem}".splitlines()[0]
+                try:
+                    check(batch)
+                except (PySparkException, Py4JError, OSError, MemoryError):
+                    raise  # the platform's, not the batch's
+                except Exception as problem:  # one bad batch must not stop the load
+                    error = f"{type(problem).__name__}: {problem}".splitlines()[0]
+            if error is None:
+                loaded = _write_batch(rows, target, batch_id)
         finally:
             batch.unpersist()
         report = spark.createDataFrame([(loaded, error)], "n_rows bigint, error string")

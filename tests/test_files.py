@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.encoders import HashingEncoder
 from gleaner.plans import maintenance
+from gleaner.plans.embed import generate_vectors
 from gleaner.plans.workspace import fresh_dir, is_complete, shared_root
 from gleaner.sources import corpus as C
 from gleaner.sources import trec
@@ -142,6 +144,35 @@ def test_max_hits_cuts_written_runs(spark):
     assert rows(trec.read_runs(spark, folder, "en"), "docid", "rank") == [("d1", 1), ("d2", 2)]
 
 
+def test_written_runs_keep_all_hits_by_default(spark):
+    run = spark.range(1, 1502).select(
+        F.lit("q").alias("qid"), F.concat(F.lit("d"), "id").alias("docid"), F.col("id").alias("rank"), (1 / F.col("id")).alias("score")
+    )
+    folder = fresh_dir(spark, "t")
+    trec.write_scores(run, f"{folder}/en_x.txt")
+    assert trec.read_runs(spark, folder, "en").count() == 1501
+    assert trec.read_scores(spark, f"{folder}/en_x_score.txt").count() == 1501
+
+
+def test_vector_artifacts_are_named_by_range_and_settings(spark):
+    docs = spark.range(10).select(F.col("id").alias("pos"), F.concat(F.lit("text "), "id").alias("text"))
+    root = fresh_dir(spark, "t")
+    args = (docs, root, "en", "hashing", HashingEncoder)
+    assert generate_vectors(*args, end=3).count() == 3
+    assert generate_vectors(*args, begin=7).count() == 3
+    assert generate_vectors(*args).count() == 10
+    plain, unit = generate_vectors(*args), generate_vectors(*args, normalize=True)
+    assert rows(plain, "pos", "vec") != rows(unit, "pos", "vec")
+
+
+def test_long_texts_are_encoded_whole(spark):
+    text = " ".join(f"w{i}" for i in range(9000))
+    docs = spark.createDataFrame([(0, text)], "pos long, text string")
+    whole = generate_vectors(docs, fresh_dir(spark, "t"), "en", "hashing", HashingEncoder)
+    cut = generate_vectors(docs, fresh_dir(spark, "t"), "en", "hashing", HashingEncoder, max_tokens=8192)
+    assert rows(whole, "vec") != rows(cut, "vec")
+
+
 def test_qrels_accept_tabs_and_spaces(spark, tmp_path):
     (tmp_path / "q.tsv").write_text("q1\t0\td1\t1\nq1 0 d2 0\n")
     assert rows(trec.read_qrels(spark, str(tmp_path / "q.tsv")), "qid", "docid", "rel") == [("q1", "d1", 1), ("q1", "d2", 0)]

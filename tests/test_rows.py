@@ -103,7 +103,7 @@ def test_chunk_modes(spark):
 
 def test_truncation(spark):
     df = spark.createDataFrame([("a", "x  y\nz"), ("b", "one")], "docid string, text string")
-    assert rows(chunking.truncate_text(df, max_tokens=2), "docid", "text") == [("a", "x y"), ("b", "one")]
+    assert rows(chunking.truncate_text(df, 2), "docid", "text") == [("a", "x y"), ("b", "one")]
 
 
 def test_encoder_gets_batches_of_the_asked_size(spark):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs as I
@@ -39,6 +40,18 @@ def test_a_bad_batch_is_reported_and_the_rest_lands(spark):
     assert loaded.count() == 40 and loaded.where(F.col("docid").startswith("d2")).count() == 0
 
 
+def test_a_platform_error_fails_the_batch(spark):
+    stream, vectors = parts(spark, 1)
+
+    def check(batch):
+        raise OSError("storage is away")
+
+    out = fresh_dir(spark, "t")
+    with pytest.raises(Exception, match="storage is away"):
+        jobs.stream_load(stream, vectors, out, check=check)
+    assert jobs.stream_load(stream, vectors, out).agg(F.sum("n_rows")).first()[0] == 10  # repeated, nothing lost
+
+
 def test_load_stops_at_the_cap_and_a_restart_adds_nothing(spark):
     stream, vectors = parts(spark)
     out = fresh_dir(spark, "t")

@@ -210,3 +210,16 @@ def test_sparse_search_without_broadcast(spark, monkeypatch):
     want = rows(vectorsearch.sparse_search(*args), "qid", "docid", "score", "rank")
     monkeypatch.setattr(vectorsearch, "local_rows", lambda df: None)
     assert rows(vectorsearch.sparse_search(*args), "qid", "docid", "score", "rank") == want
+
+
+def test_the_same_query_id_in_two_languages(spark):
+    vectors = spark.createDataFrame(
+        [("a", "de", [0.0, 0.0]), ("b", "de", [3.0, 0.0]), ("c", "en", [0.1, 0.0]), ("d", "en", [9.0, 0.0])],
+        "docid string, lang string, vec array<float>",
+    )
+    queries = spark.createDataFrame([(1, "de", [0.0, 0.0]), (1, "en", [0.0, 0.0])], "qid long, lang string, qvec array<float>")
+    for broadcast_rows in (4096, 1):
+        got = vectorsearch.dense_search(queries, vectors, 2, query_broadcast_rows=broadcast_rows)
+        assert rows(got, "lang", "qid", "docid", "rank") == [
+            ("de", 1, "a", 1), ("de", 1, "b", 2), ("en", 1, "c", 1), ("en", 1, "d", 2)
+        ]
