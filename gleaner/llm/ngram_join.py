@@ -3,9 +3,10 @@
 A document is the set of its distinct word ``n``-grams. Two documents of sizes
 ``x`` and ``y`` link when they share at least ``T = ceil(t (x + y) / (1 + t))``
 n-grams. As in DivideSkip, the inverted lists of a document are divided: its
-rarest ``x - ceil(t x) + 1`` n-grams have short lists, which are merged - one of
-them must hold any partner - and the remaining, longer lists are only probed by
-binary search for the candidates so found.
+rarest ``p + k - 1`` n-grams, with ``p = x - ceil(t x) + 1``, have short lists, which are merged - at
+least ``k`` of them must hold any partner - and the remaining, longer lists are only probed by
+binary search for the candidates so found. ``k`` is about a third of ``p``, so a
+passage in many otherwise different documents makes no candidates.
 
 * **Order.** All tasks need one order from rare to frequent. A table of ``slots``
   counters over n-gram hashes is summed over *all* documents; only its size, fixed
@@ -40,6 +41,7 @@ from gleaner.llm.wordhash import BLANKS, cut_words, hash_runs, hash_words, mix,
 from gleaner.plans.workspace import stored
 
 SLOTS = 1 << 16
+SHARE = 3
 SMALL_LIST = 16
 PROBE_ROWS = 256  # candidates whose lists are merged at once
 PROBE_LISTS = 64  # long lists probed between two checks of what a candidate can still reach
@@ -95,6 +97,15 @@ def _ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (rank[(grams >> shift).astype(np.int64)] << shift) | (grams & low)
 
 
+def short_lists(size, percent: int):
+    """``(p, k)``: a partner stands in ``k`` or more of the first ``p + k - 1`` lists; also for columns of sizes."""
+    if isinstance(size, int):
+        p = size - (percent * size + 99) // 100 + 1
+        return p, 1 + p // SHARE
+    p = size - F.ceil(size * percent / 100) + 1
+    return p, 1 + F.floor(p / SHARE)
+
+
 def _as_lists(parts: list[np.ndarray]) -> pa.ListArray:
     sizes = np.cumsum([0] + [len(p) for p in parts])
     values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
@@ -113,7 +124,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, n: int, rank, percent: int) -
                     size = len(tokens)
                     sizes.append(size)
                     sigs.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if size else None)
-                    shorts.append(tokens[: size - (percent * size + 99) // 100 + 1] if size else tokens)
+                    shorts.append(tokens[: sum(short_lists(size, percent)) - 1] if size else tokens)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), _as_lists(shorts)],
                     ["id", "size", "sig", "short"],
@@ -216,11 +227,12 @@ def jaccard_components(
     copies = stored(table.where("id is not null").join(named, "sig").where("id != rep").select("id", "sig"), "ngram-copies")
     reps = table.where("id is not null").join(checked_broadcast(copies), ["id", "sig"], "left_anti")
     shared = stored(_repeated(reps.select(F.explode("short").alias("gram"), "id", "size")), "ngram-shared")
-    counted = shared.join(shared.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")
-    lists = stored(counted, "ngram-lists")
+    for _ in range(2):
+        shared = _with_partners(shared, percent)
+    lists = stored(shared.join(shared.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram"), "ngram-lists")
 
     small, hot = lists.where(F.col("m") <= SMALL_LIST), lists.where(F.col("m") > SMALL_LIST)
-    pairs = stored(_all_pairs(small, percent).distinct(), "ngram-pairs")
+    pairs = stored(_likely_pairs(small, hot, percent), "ngram-pairs")
     links = _links(docs, id_col, text_col, pairs, n, percent).union(_same_id(table, named))
     links = links.union(_family_links(docs, id_col, text_col, hot, n, percent))
     groups = stored(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "ngram-groups")
@@ -268,11 +280,32 @@ def _repeated(entries: DataFrame) -> DataFrame:
     return spread.mapInArrow(look, entries.schema)
 
 
-def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of entries of a list whose sizes allow a link."""
-    x, y = lists.alias("x"), lists.alias("y")
+def _with_partners(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries of documents that stand in as many lists with others as any link of theirs needs; written."""
+    lists = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    rows = entries.join(lists, "gram", "left_semi")
+    least = F.ceil(F.col("size") * percent / 100)  # of a partner's size
+    enough = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    enough = stored(enough.where(F.col("n") >= short_lists(least, percent)[1]).select("id"), "ngram-able")
+    return stored(rows.join(checked_broadcast(enough), "id", "left_semi"), "ngram-shared")
+
+
+def _likely_pairs(small: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entries of small lists whose sizes allow a link and that can share enough short lists.
+
+    Of the hot lists they share no more than the one with fewer of them stands in.
+    """
+    x, y = small.alias("x"), small.alias("y")
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & _fits("x.size", "y.size", percent)
-    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    smaller = F.least("x.size", "y.size").alias("size")
+    met = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), smaller)
+    met = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    in_hot = stored(hot.groupBy("id").agg(F.count("*").alias("h")), "ngram-hot")
+    for end in ("a", "b"):
+        counts = checked_broadcast(in_hot.select(F.col("id").alias(end), F.col("h").alias(f"h{end}")))
+        met = met.join(counts, end, "left")
+    hot_shared = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    return met.where(F.col("n") + hot_shared >= short_lists(F.col("size"), percent)[1]).select("a", "b")
 
 
 def _families(hot: DataFrame) -> DataFrame:
