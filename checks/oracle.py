@@ -175,6 +175,9 @@ ORACLE: dict[str, str] = {
     "read_topics": f"""WITH {TOPICS} SELECT query_id, query, CAST(quality = 1 AS BIGINT) AS n_positive,
       CAST(toxic = 1 AS BIGINT) AS n_negative, 'test' AS split FROM topics""",
     "topic_qrels": f"WITH {TOPICS} SELECT query_id AS qid, query_id AS docid, 1 AS rel FROM topics WHERE quality = 1",
+    "pair_in_source_order": """SELECT pos, docid, n_chars, CAST(embedding[1] AS DOUBLE) AS first FROM (SELECT CAST(doc_id AS VARCHAR) AS docid,
+        CAST(length(text) AS BIGINT) AS n_chars, row_number() OVER (ORDER BY reverse(CAST(doc_id AS VARCHAR))) - 1 AS pos FROM documents)
+      JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings) USING (pos)""",
     "read_all_languages": "SELECT lang, CAST(doc_id AS VARCHAR) AS docid, text FROM documents",
     "load_summary": """SELECT l.lang, CASE WHEN count(d.doc_id) > 0 THEN 'success' ELSE 'failed' END AS status,
       count(d.doc_id) AS n_rows FROM (SELECT unnest(['ar','de','en','es','fr','hi','it','ja','ko','pt','ru','th','zh']) AS lang) l

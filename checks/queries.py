@@ -88,6 +88,19 @@ def topic_qrels(spark, sf):
     return C.topic_qrels(C.fill_missing_passages(I.topics(spark, sf)))
 
 
+@query
+def pair_in_source_order(spark, sf):
+    """A JSON-lines corpus, its ids in no order, paired with a vector file by place."""
+    path, vec_path = fresh_dir(spark, "lines"), fresh_dir(spark, "fvecs")
+    order = F.reverse(F.col("docid"))
+    docs = I.corpus(spark, sf).repartitionByRange(5, order).sortWithinPartitions(order)
+    docs.select("docid", "text").write.json(path)
+    VF.write_fvecs(positioned_vectors(spark, sf), vec_path)
+    corpus = positions.assign_source_positions(C.read_corpus(spark, path, "en"))
+    paired = positions.zip_join(corpus, VF.read_fvecs(spark, vec_path))
+    return paired.select("pos", "docid", F.length("text").cast("bigint").alias("n_chars"), F.col("vec")[0].cast("double").alias("first"))
+
+
 @query
 def read_all_languages(spark, sf):
     docs, _ = C.read_all_languages(spark, write_corpora(spark, sf))

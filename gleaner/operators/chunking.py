@@ -52,18 +52,28 @@ def _tail(pieces: list[str], room: int) -> list[str]:
 def _packed(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
     """Neighbouring pieces joined to chunks of at most ``size`` characters."""
     current: list[str] = []
+    length = 0
     for piece in pieces:
-        if current and sum(map(len, current)) + len(piece) > size:
+        if current and length + len(piece) > size:
             yield "".join(current)
             current = _tail(current, min(overlap, size - len(piece)))
+            length = sum(map(len, current))
         current.append(piece)
+        length += len(piece)
     yield "".join(current)
 
 
+def _sliced(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Chunks of a text without breaks; like :func:`_packed` over its characters."""
+    overlap = min(overlap, size - 1)
+    for start in range(0, max(1, len(text) - overlap), size - overlap):
+        yield text[start : start + size]
+
+
 def _chunks(text: str, size: int, overlap: int, breaks: list[str]) -> Iterator[str]:
     usable = [b for b in breaks if b in text]
     if not usable:
-        yield from _packed(list(text), size, overlap)
+        yield from _sliced(text, size, overlap)
         return
     best, finer = usable[0], usable[1:]
     head, *rest = text.split(best)

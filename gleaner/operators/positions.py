@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.functions.constants import BASE_ID_GROUP
 from gleaner.plans.workspace import stored
+from gleaner.sources.files import natural_key
 
 ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -50,6 +51,32 @@ def assign_positions(
     return df.join(pos, keys)
 
 
+def assign_source_positions(df: DataFrame) -> DataFrame:
+    """``df``, a scan of files, with the gap-free 0-based ``pos`` of each row in its files.
+
+    Files count in the order of their names, numbers in them by value. Nothing is sorted and no row moves: a row's place
+    in its split is its place in the task, and the starts of the splits come from one
+    count per split. ``df`` may have projections and computed columns, but no filter and no shuffle.
+    """
+    file, start, row = "__file", "__start", "__row"  # names no caller uses
+    first = df.columns[0]
+    located = df.select(
+        "*",
+        F.col("_metadata.file_path").alias(file),
+        F.col("_metadata.file_block_start").alias(start),
+        F.monotonically_increasing_id().alias(row),
+    )
+    # The first column is counted as well, so that this scan parses rows as the other one does.
+    splits = located.groupBy(file, start).agg(F.count("*").alias("n"), F.min(row).alias("low"), F.count(first)).collect()
+    offsets, total = [], 0
+    for split in sorted(splits, key=lambda s: (natural_key(s[file]), s[start])):
+        offsets.append((split[file], split[start], total - split["low"]))
+        total += split["n"]
+    table = df.sparkSession.createDataFrame(offsets, f"{file} string, {start} bigint, __shift bigint")
+    placed = located.join(F.broadcast(table), [file, start])  # a row per split of the input
+    return placed.select(*df.columns, (F.col(row) + F.col("__shift")).alias("pos"))
+
+
 def assign_base_id(df: DataFrame, group: int = BASE_ID_GROUP) -> DataFrame:
     """``base_id_{pos div group + 1}``."""
     return df.withColumn("base_id", T.base_id(F.col("pos"), group))

@@ -13,6 +13,7 @@ from pyspark.sql import types as ST
 from gleaner.functions.blocks import equal_bit_scores, maxsim_scores, nested, round6
 from gleaner.operators.bounds import local_rows
 from gleaner.operators.topk import top_k
+from gleaner.plans.workspace import stored
 
 
 def _rerank(
@@ -21,7 +22,7 @@ def _rerank(
     """Score the first ``n`` hits of ``run`` only; hits without vectors keep score 0."""
     candidates = run.where(F.col("rank") <= n).select("qid", "docid")
     few = local_rows(candidates)  # one evaluation of the first stage instead of several
-    candidates = candidates if few is None else few
+    candidates = stored(candidates, "candidates") if few is None else few
     docs = multivecs.select("docid", F.col("vecs").alias("dvecs"))
     # Vectors of documents nobody retrieved are dropped before they are moved.
     wanted = docs.join(candidates.select("docid").distinct(), "docid", "left_semi")

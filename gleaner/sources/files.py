@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -18,8 +19,13 @@ def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def natural_key(path: str) -> list:
+    """Sort key that orders numbers in a path by value: part-99999 comes before part-100000."""
+    return [int(piece) if piece.isdigit() else piece for piece in re.split(r"([0-9]+)", path)]
+
+
 def data_files(path: str) -> list[tuple[str, int]]:
-    """``(path, size)`` of a file, or of the visible files of a folder in name order."""
+    """``(path, size)`` of a file, or of the visible files of a folder in name order, numbers by value."""
     filesystem, target = resolve(path)
     info = filesystem.get_file_info(target)
     if info.type == pafs.FileType.File:
@@ -32,7 +38,7 @@ def data_files(path: str) -> list[tuple[str, int]]:
         for i in listed
         if i.type == pafs.FileType.File and not posixpath.basename(i.path).startswith(("_", "."))
     ]
-    return sorted(visible)
+    return sorted(visible, key=lambda file: natural_key(file[0]))
 
 
 @dataclass

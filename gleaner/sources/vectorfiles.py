@@ -239,6 +239,8 @@ class MultiVectorReader(FileReader):
         )
 
 
+# Rows of a sparse file unless ``rowsPerFile`` says otherwise; a task holds the bytes of one file.
+SPARSE_ROWS_PER_FILE = 50_000
 PAIR = np.dtype([("index", "<i4"), ("value", "<f4")])
 
 
@@ -375,12 +377,27 @@ class SparseVectorWriter(PartWriter):
         partition = TaskContext.get().partitionId()
         filesystem, target = resolve(self.parts.path)
         filesystem.create_dir(target, recursive=True)
-        moves = []
-        for number, batch in enumerate(b for b in iterator if b.num_rows):
-            part = self.parts.new_part(partition, number, self.suffix)
+        moves, held, count = [], [], 0
+
+        def flush() -> None:
+            part = self.parts.new_part(partition, len(moves), self.suffix)
             moves.append(part)
             with filesystem.open_output_stream(part[0]) as handle:
-                handle.write(np.array([batch.num_rows], INT).tobytes() + self.encode(batch))
+                handle.write(np.array([count], INT).tobytes())
+                handle.writelines(held)
+
+        most = self.rows_per_file or SPARSE_ROWS_PER_FILE
+        for whole in iterator:
+            start = 0
+            while start < whole.num_rows:
+                batch = whole.slice(start, most - count)
+                held.append(self.encode(batch))
+                count, start = count + batch.num_rows, start + batch.num_rows
+                if count == most:
+                    flush()
+                    held, count = [], 0
+        if count:
+            flush()
         return PartFiles(moves)
 
 
