@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -159,28 +159,37 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(_features(counts) @ self.weights, -30, 30)))
 
 
-def learn_stems(rows: DataFrame, least_docs: int = 6, share: float = 0.005, ratio: float = 30.0, most: int = 2000) -> list[str]:
+def learn_stems(rows: DataFrame, least_docs: int = 6, share: float = 0.01, contexts: int = 6, ratio: float = 30.0, most: int = 2000
+) -> list[str]:
     """Up to ``most`` beginnings of words that mark toxic documents among ``rows(text, y)``.
 
     A beginning of 4 to 8 letters that at least ``least_docs`` toxic documents, and a ``share`` of them, hold
-    and that is ``ratio`` times as frequent there. Of nested ones the shortest stays that is no mere part of a longer one.
+    after ``contexts`` different words (copies of one toxic text hold it after the same) and that is ``ratio`` times as frequent there. Of nested ones the shortest stays that is no mere part of a longer one.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        after: Counter = Counter()  # bits of the words a beginning stands after, in toxic texts
 
         def flush():
             for y, c in total.items():
+                bits = [after[s] if y else 0 for s in c]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())],
-                    ["stem", "y", "n"],
+                    [pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64()), pa.array(bits, pa.int64())],
+                    ["stem", "y", "n", "after"],
                 )
                 c.clear()
+            after.clear()
 
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1)):
-                words = set(WORD.findall(text.as_py().lower()))
-                total[min(1, y.as_py())].update({w[:k] for w in words for k in range(4, min(8, len(w)) + 1)})
+                words, toxic = WORD.findall(text.as_py().lower()), min(1, y.as_py())
+                total[toxic].update({w[:k] for w in set(words) for k in range(4, min(8, len(w)) + 1)})
+                if toxic:
+                    for before, w in set(zip(["", *words], words)):
+                        bit = 1 << crc32(before.encode()) % 63
+                        for k in range(4, min(8, len(w)) + 1):
+                            after[w[:k]] |= bit
                 if len(total[0]) + len(total[1]) > 300_000:
                     yield from flush()
         yield from flush()
@@ -189,10 +198,11 @@ def learn_stems(rows: DataFrame, least_docs: int = 6, share: float = 0.005, rati
     sizes = {r.y: r.n for r in rows.groupBy(F.least("y", F.lit(1)).alias("y")).agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return []
-    counts = rows.mapInArrow(count, "stem string, y int, n long").groupBy("stem").agg(toxic.alias("t"), clean.alias("c"))
+    counts = rows.mapInArrow(count, "stem string, y int, n long, after long").groupBy("stem")
+    counts = counts.agg(toxic.alias("t"), clean.alias("c"), F.bit_count(F.bit_or("after")).alias("contexts"))
     lift = (F.col("t") / sizes[1]) / ((F.col("c") + 0.5) / sizes[0])
     least = max(least_docs, share * sizes[1])
-    marked = counts.where((F.col("t") >= least) & (lift >= ratio)).orderBy(F.desc("t"), "stem").limit(most)
+    marked = counts.where((F.col("t") >= least) & (F.col("contexts") >= contexts) & (lift >= ratio)).orderBy(F.desc("t"), "stem").limit(most)
     held = {r.stem: r.t for r in marked.select("stem", "t").collect()}
     # A longer beginning that nearly all of the documents share says more than the shorter one.
     tight = [s for s, t in held.items() if not any(o != s and o.startswith(s) and n >= 0.9 * t for o, n in held.items())]
