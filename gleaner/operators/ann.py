@@ -50,15 +50,30 @@ def kmeans_centroids(
 
 def _shared_centroids(centroids: DataFrame):
     """Cell numbers and centroids as a broadcast variable, after a check of their number."""
-    listed = centroids.limit(MAX_CELLS + 1).collect()
-    if len(listed) > MAX_CELLS:
+    listed = centroids.select("cell", "centroid").limit(MAX_CELLS + 1).toArrow()
+    if listed.num_rows > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells")
-    listed.sort(key=lambda row: row.cell)
-    numbers = np.array([row.cell for row in listed])
-    centers = np.array([row.centroid for row in listed], dtype=np.float64)
+    listed = listed.sort_by("cell").combine_chunks()
+    numbers = listed.column("cell").to_numpy()
+    centers = matrix(listed.column("centroid").combine_chunks()).astype(np.float64)
     return centroids.sparkSession.sparkContext.broadcast((numbers, centers))
 
 
+def _first_places(distances: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` smallest values per row, ties to the smaller column, without sorting whole rows."""
+    if n < distances.shape[1]:
+        limit = np.partition(distances, n - 1, axis=1)[:, n - 1 : n]
+        kept = np.where(distances <= limit, distances, np.inf)
+        rest = int((distances <= limit).sum(axis=1).max())
+        some = np.argpartition(kept, rest - 1, axis=1)[:, :rest] if rest < distances.shape[1] else None
+        if some is not None:
+            some.sort(axis=1)
+            order = np.argsort(np.take_along_axis(kept, some, axis=1), axis=1, kind="stable")[:, :n]
+            return np.take_along_axis(some, order, axis=1)
+    # Stable: equal distances keep the order of the cell numbers.
+    return np.argsort(distances, axis=1, kind="stable")[:, :n]
+
+
 def nearest_cells(
     points: DataFrame, centroids: DataFrame, n: int, id_col: str, vec_col: str
 ) -> DataFrame:
@@ -81,8 +96,7 @@ def nearest_cells(
             step = max(1, 4_000_000 // len(cells))
             for start in range(0, len(vectors), step):
                 distances = round6(l2_distances(vectors[start : start + step], centers))
-                # Stable: equal distances keep the order of the cell numbers.
-                picks.append(np.argsort(distances, axis=1, kind="stable")[:, :n])
+                picks.append(_first_places(distances, n))
             order = np.concatenate(picks)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -123,14 +137,20 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def build_vector_index(
     vectors: DataFrame,
-    n_cells: int = 16,
+    n_cells: int | None = None,
     centroids: DataFrame | None = None,
     seed: int = 42,
     train_fraction: float = 1.0,
 ) -> VectorIndex:
-    """Inverted-file index of ``(docid, vec)``; given ``centroids`` replace the training."""
+    """Inverted-file index of ``(docid, vec)``; given ``centroids`` replace the training.
+
+    Without ``n_cells`` there are as many cells as the square root of the number of
+    vectors, so that neither the cells nor the vectors of a cell become many.
+    """
     centers = centroids
     if centers is None:
+        if n_cells is None:
+            n_cells = min(MAX_CELLS, max(1, round(vectors.count() ** 0.5)))
         centers = kmeans_centroids(vectors, n_cells, seed, train_fraction=train_fraction)
     return VectorIndex(assign_cells(vectors, centers), centers)
 

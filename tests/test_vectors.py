@@ -223,3 +223,14 @@ def test_the_same_query_id_in_two_languages(spark):
         assert rows(got, "lang", "qid", "docid", "rank") == [
             ("de", 1, "a", 1), ("de", 1, "b", 2), ("en", 1, "c", 1), ("en", 1, "d", 2)
         ]
+
+
+def test_first_places_equal_a_stable_sort():
+    for columns, n in ((5, 5), (40, 3), (40, 40), (9, 1)):
+        distances = rng.integers(0, 12, (200, columns)).astype(float)
+        assert (ann._first_places(distances, n) == np.argsort(distances, axis=1, kind="stable")[:, :n]).all()
+
+
+def test_cells_follow_the_number_of_vectors(spark):
+    vectors = vec_frame(spark, [f"d{i}" for i in range(100)], rng.normal(size=(100, 4)))
+    assert ann.build_vector_index(vectors).centroids.count() == 10
