@@ -15,6 +15,7 @@ import json
 import mmap
 import os
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -32,6 +33,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 LEXICON_WORDS = 20_000
 MEMO_WORDS = 200_000  # words a worker remembers; then it starts over
+SHORT_WORD = 48  # bytes; longer words are merged with a heap
+BITS, NO_JOIN = 20, 1 << 60  # ids have fewer bits
+LOW_BITS = (1 << BITS) - 1
 LONG_WORD = 256  # characters; longer words are merged, not remembered
 
 
@@ -51,6 +55,11 @@ class Vocabulary:
         self.ids = {bytes(to_byte[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in to_byte for c in piece)}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {tuple(bytes(to_byte[c] for c in part) for part in m): i for i, m in enumerate(merges)}
+        # Pairs of ids as one number -> rank and id of the merged piece as one number.
+        self.joins = {
+            self.ids[a] << BITS | self.ids[b]: rank << BITS | self.ids[a + b] for (a, b), rank in self.ranks.items()
+        }
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.pieces = {i: piece for piece, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         words = sorted(self.special, key=len, reverse=True)
@@ -62,9 +71,24 @@ class Vocabulary:
         return cls(json.loads(text))
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """Token ids of one word: the neighbouring pair of lowest rank is merged, leftmost first, until none is left.
-
-        Pairs wait in a heap by (rank, place), parts are a linked list: a word of
+        """Token ids of one word: the neighbouring pair of lowest rank is merged, leftmost first, until none is left."""
+        if len(word) > SHORT_WORD:
+            return self.merge_long(word)
+        ids, find = [self.byte_ids[b] for b in word], self.joins.get
+        joins = [find(a << BITS | b, NO_JOIN) for a, b in zip(ids, ids[1:])]
+        while joins and (best := min(joins)) != NO_JOIN:
+            at = joins.index(best)
+            made = best & LOW_BITS
+            ids[at : at + 2] = (made,)
+            del joins[at]
+            if at < len(joins):
+                joins[at] = find(made << BITS | ids[at + 1], NO_JOIN)
+            if at:
+                joins[at - 1] = find(ids[at - 1] << BITS | made, NO_JOIN)
+        return tuple(ids)
+
+    def merge_long(self, word: bytes) -> tuple[int, ...]:
+        """The same with pairs in a heap by (rank, place) and parts as a linked list: a word of
         any length costs its length times a logarithm.
         """
         from heapq import heapify, heappop, heappush
@@ -157,11 +181,10 @@ class Lexicon:
         if data is None:
             with open(path, "rb") as handle:
                 data = mmap.mmap(handle.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes = np.frombuffer(data, dtype="<i8", count=7)
-        at, tables = 56, []
-        for size in sizes:
-            tables.append(np.frombuffer(data, dtype="<i4", count=int(size), offset=at))
-            at += 4 * int(size)
+        view, at, tables = memoryview(data), 56, []
+        for size in view[:56].cast("q"):
+            tables.append(view[at : at + 4 * size].cast("i"))  # plain integers, read where they lie
+            at += 4 * size
         self.first, self.byte, self.target, self.skip, self.final, self.starts, self.ids = tables
         self.root = len(self.final) - 1
 
@@ -169,39 +192,44 @@ class Lexicon:
         """Ids of ``word``, or ``None`` if it isn't in the lexicon."""
         state, number = self.root, 0
         for b in word:
-            low, high = self.first[state], self.first[state + 1]
-            arc = low + int(np.searchsorted(self.byte[low:high], b))
+            high = self.first[state + 1]
+            arc = bisect_left(self.byte, b, self.first[state], high)
             if arc == high or self.byte[arc] != b:
                 return None
-            number += int(self.skip[arc])
+            number += self.skip[arc]
             state = self.target[arc]
         if not self.final[state]:
             return None
-        return tuple(self.ids[self.starts[number] : self.starts[number + 1]].tolist())
+        return tuple(self.ids[self.starts[number] : self.starts[number + 1]])
 
 
-class Codec:
-    """Encodes and decodes texts, remembering words already looked up."""
+class Memo(dict):
+    """Ids by word: words not seen yet are looked up in the lexicon, or merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.memo.get(word)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        found = self.lexicon.get(raw) if self.lexicon else None
         if found is None:
-            raw = word.encode()
-            found = self.lexicon.get(raw) if self.lexicon else None
-            if found is None:
-                found = self.vocabulary.merge(raw)
-            if len(word) <= LONG_WORD:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[word] = found
+            found = self.vocabulary.merge(raw)
+        if len(word) <= LONG_WORD:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
+
+class Codec:
+    """Encodes and decodes texts, remembering words already looked up."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+        self.vocabulary = vocabulary
+        self.memo = Memo(vocabulary, lexicon)
+
     def encode(self, text: str) -> list[int]:
-        vocabulary, word = self.vocabulary, self.word
+        vocabulary, word = self.vocabulary, self.memo.__getitem__
         out: list[int] = []
         for segment in vocabulary.segments(text):
             if segment in vocabulary.special:
