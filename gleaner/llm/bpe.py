@@ -32,7 +32,7 @@ from gleaner.plans.workspace import fresh_dir
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 LEXICON_WORDS = 20_000
-MEMO_WORDS = 200_000  # words a worker remembers; then it starts over
+MEMO_WORDS = 500_000  # words a worker remembers; then it starts over
 SHORT_WORD = 48  # bytes; longer words are merged with a heap
 BITS, NO_JOIN = 20, 1 << 60  # ids have fewer bits
 LOW_BITS = (1 << BITS) - 1
