@@ -199,3 +199,59 @@ def test_repeated_ids_and_null_ids_of_lines(spark):
     assert sorted(got, key=repr) in (
         sorted([(1, 1), (1, 1), (1, 1), (None, 1)], key=repr), sorted([(1, 0), (1, 0), (1, 2), (None, 1)], key=repr)
     )
+
+
+def edits(s, t):
+    row = list(range(len(t) + 1))
+    for i, x in enumerate(s, 1):
+        last, row = row, [i]
+        for j, y in enumerate(t, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_defaults_find_the_lines_that_are_similar_as_text(spark):
+    rnd = random.Random(9)
+    pieces = "the an in er on re ed nd ha at en es of or nt ti to it st io le is ou ar as".split()
+    word = lambda: rnd.choice(["the", "of", "and", "in"]) if rnd.random() < 0.35 else "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 4)))
+
+    def swapped(words, n):
+        copy = list(words)
+        for i in rnd.sample(range(len(copy)), n):
+            copy[i] = word()
+        return " ".join(copy)
+
+    def mistyped(words, share):
+        chars = list(" ".join(words))
+        for i in rnd.sample(range(len(chars)), int(share * len(chars))):
+            chars[i] = rnd.choice(["", "x", chars[i] + "y"])
+        return "".join(chars)
+
+    ways = {
+        "one word": lambda w: swapped(w, 1),
+        "a tenth of the words": lambda w: swapped(w, max(1, len(w) // 10)),
+        "a fifth of the words": lambda w: swapped(w, len(w) // 5),
+        "5 % of the characters": lambda w: mistyped(w, 0.05),
+        "10 % of the characters": lambda w: mistyped(w, 0.1),
+        "15 % of the characters": lambda w: mistyped(w, 0.15),
+    }
+    texts, cases = {}, []
+    for n in (5, 10, 26, 56, 100):
+        for way, change in ways.items():
+            for _ in range(30 if n < 50 else 10):
+                words = [word() for _ in range(n)]
+                line, other = " ".join(words), change(words)
+                a, b = normal(line), normal(other)
+                if a != b and len(b.split()) >= linededup.MIN_WORDS and edits(a, b) <= 0.2 * max(len(a), len(b)):
+                    at = len(texts)
+                    cases.append((n, way, at + 1))
+                    texts |= {at: line, at + 1: other}
+    kept = {r.doc_id: r.n_kept for r in linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(kept[i - 1] == 1 for *_, i in cases)
+    found = {}
+    for n, way, i in cases:
+        found.setdefault((n, way), []).append(kept[i] == 0)
+    print("\nwords | change | pairs | found")
+    for (n, way), hits in found.items():
+        print(f"{n} | {way} | {len(hits)} | {sum(hits)}")
+        assert sum(hits) >= (0.4 if "15" in way or n == 5 and "10 %" in way else 0.9) * len(hits), (n, way)
