@@ -16,25 +16,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gleaner.llm.decontaminate import SEPARATORS, count_words
 from gleaner.llm.sides import ascii_lower
 
-# Licenses as (label, keyword, names in words).
+# Licenses as (label, keyword, names in words). The keyword is a word of each of its names.
 LICENSES = [
     ("mit", "mit", ["mit"]),
     ("apache-2", "apache", ["apache license version 2", "apache license 2", "apache 2"]),
     ("apache-1.1", "apache", ["apache software license version 1 1"]),
-    ("gpl-2", "gpl", ["gpl v2", "gplv2", "gpl 2", "gpl 2 0"]),
+    ("gpl-2", "gpl", ["gpl v2", "gpl 2", "gpl 2 0"]),
+    ("gpl-2", "gplv2", ["gplv2"]),
     ("gpl-2", "gnu", ["gnu general public license version 2", "gnu gpl version 2"]),
-    ("gpl-3", "gpl", ["gpl v3", "gplv3", "gpl 3", "gpl 3 0"]),
+    ("gpl-3", "gpl", ["gpl v3", "gpl 3", "gpl 3 0"]),
+    ("gpl-3", "gplv3", ["gplv3"]),
     ("gpl-3", "gnu", ["gnu general public license version 3", "gnu gpl version 3"]),
     ("gpl", "gnu", ["gnu general public license", "gnu gpl"]),
-    ("lgpl-2.1", "lgpl", ["lgpl v2 1", "lgpl 2 1", "lgplv2 1"]),
+    ("lgpl-2.1", "lgpl", ["lgpl v2 1", "lgpl 2 1"]),
+    ("lgpl-2.1", "lgplv2", ["lgplv2 1"]),
     ("lgpl-3", "gnu", ["gnu lesser general public license version 3"]),
     ("lgpl", "gnu", ["gnu lesser general public license", "gnu library general public license"]),
     ("agpl-3", "gnu", ["gnu affero general public license version 3", "gnu affero general public license"]),
-    ("agpl-3", "agpl", ["agpl v3", "agplv3", "agpl 3"]),
+    ("agpl-3", "agpl", ["agpl v3", "agpl 3"]),
+    ("agpl-3", "agplv3", ["agplv3"]),
     ("bsd-3", "bsd", ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"]),
-    ("bsd-2", "bsd", ["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"]),
+    ("bsd-2", "bsd", ["bsd 2 clause", "2 clause bsd", "simplified bsd"]),
+    ("bsd-2", "freebsd", ["freebsd"]),
     ("bsd", "bsd", ["bsd"]),
-    ("mpl-2", "mpl", ["mpl 2 0", "mpl 2", "mplv2"]),
+    ("mpl-2", "mpl", ["mpl 2 0", "mpl 2"]),
+    ("mpl-2", "mplv2", ["mplv2"]),
     ("mpl-2", "mozilla", ["mozilla public license version 2", "mozilla public license"]),
     ("epl", "eclipse", ["eclipse public license"]),
     ("isc", "isc", ["isc"]),

@@ -73,6 +73,24 @@ def test_license_scan(spark):
     assert len(licenses.rules()) > 200 and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_every_license_rule_passes_the_gate(spark):
+    samples = []
+    for label, keyword, names in licenses.LICENSES:
+        assert all(keyword in name.split() for name in names)
+        for name in names:
+            forms = [f"SPDX-License-Identifier: {name}", f"Licensed under the {name}", f"redistributed under {name}", f"License: {name}", f"{name} license"]
+            samples += [(label, s) for s in forms + [name] * (len(name.split()) >= licenses.BARE_WORDS)]
+    assert len(samples) == len(licenses.rules()) == 380
+    for (label, text), (*_, regex, _) in zip(samples, licenses.rules()):
+        assert re.search(regex, f" {' '.join(words(text))} ")
+    docs = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(samples)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    missed = [(label, s, got[i].labels) for i, (label, s) in enumerate(samples) if label not in got[i].labels or not got[i].score]
+    # Names that go on are told apart by the longer match, so every miss would be a wrong one.
+    assert not missed
+    assert got[[s for _, s in samples].index("License: gplv3")].labels == ["gpl-3"]
+
+
 def test_grammar_scores_clauses():
     grammar = toxicity.Grammar(["grob"])
     tags = lambda text: {t: n for t, n in zip(toxicity.TAGS, grammar.tags(text)) if n}
