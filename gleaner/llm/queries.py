@@ -68,7 +68,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), short_lines=True).select("doc_id", "n_lines", "n_kept", "text")
 
 
 def op9_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,14 @@ def test_defaults_find_the_lines_that_are_similar_as_text(spark):
     for (n, way), hits in found.items():
         print(f"{n} | {way} | {len(hits)} | {sum(hits)}")
         assert sum(hits) >= (0.4 if "15" in way or n == 5 and "10 %" in way else 0.9) * len(hits), (n, way)
+
+
+def test_short_lines_and_unspaced_scripts(spark):
+    chinese = "今天的天气非常好我们一起去公园散步看花然后回家吃饭"
+    thai = "กรงเทพมหานครอมรรตนโกสนทร"
+    texts = ["Menu\nhome page\n\n---\nonly here", "MENU!\nHome Page\n\n---\nother one", chinese, "x y\n" + chinese, chinese.replace("公", "花"), thai, thai, "短い", "短い。"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs, short_lines=True).collect()}
+    assert got == {0: texts[0], 1: "\n---\nother one", 2: chinese, 3: "x y", 4: "", 5: thai, 6: "", 7: "短い", 8: ""}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}  # only lines long enough
+    assert got == {0: texts[0], 1: texts[1], 2: chinese, 3: "x y", 4: "", 5: thai, 6: "", 7: "短い", 8: "短い。"}
