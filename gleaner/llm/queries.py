@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import bpe, decontaminate, licenses, linededup, ngram_join, quality, topk, toxicity, urlfilter, warc
+from gleaner.llm import bpe, decontaminate, licenses, linededup, ngram_join, quality, tokenfiles, topk, toxicity, urlfilter, warc
 
 #: The rules the URL query judges by.
 URL_RULES = [
@@ -89,6 +89,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = tokenfiles.token_folder(docs)
+    manifest = tokenfiles.write_tokens(docs, folder, vocabulary_path())
+    return tokenfiles.read_tokens(manifest, folder, with_ids=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,5 +109,6 @@ QUERIES = {
         op8_line_dedup,
         op9_pivot_top_k,
         op10_bpe,
+        op13_token_files,
     )
 }
