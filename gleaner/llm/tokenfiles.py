@@ -40,15 +40,16 @@ FILE_BYTES = 256 << 20  # a file is closed once it holds as much
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 16_384
-MEMO_UNITS = 250_000  # units of text a worker remembers; then it starts over
-LONG_UNIT = 48  # characters; longer units are encoded where they stand
+MEMO_PARTS = 400_000  # parts of texts a worker remembers; then it starts over
+LONG_PART = 48  # characters; longer parts are encoded where they stand
 MANIFEST = "part int, segment int, file string, dictionary string, first_id long, last_id long, n_docs long, n_ids long"
-#: Words never reach over a space between such characters, so texts may be cut there.
-CUT = re.compile(r"(?<=[\w.,;:!?])(?= \w)")
+#: Words never reach over a single space between visible characters, so texts may be cut there.
+CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+SAFE = re.compile(r"[\w!-~](?:[\s\S]*[\w!-~])?")
 
 
 class Encoder:
-    """The library's ids of whole texts, as bytes; units cut at safe spaces are encoded once and remembered."""
+    """The library's ids of whole texts, as bytes; parts between safe spaces are encoded once and remembered."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -65,39 +66,36 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode units a thousand at once, as a running text, and cut the ids where the units end."""
-        groups = [units[i : i + 1000] for i in range(0, len(units), 1000)]
-        for group, ids in zip(groups, self._plain(["".join(g) for g in groups])):
-            ends = np.cumsum([len(u.encode()) for u in group])
+    def _learn(self, parts: list[str]) -> None:
+        """Remember parts with the space before them: a thousand at once, as a running text whose ids are cut where they end."""
+        groups = [parts[i : i + 1000] for i in range(0, len(parts), 1000)]
+        for group, ids in zip(groups, self._plain([" " + " ".join(g) for g in groups])):
+            ends = np.cumsum([len(p.encode()) + 1 for p in group])
             stops = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1
             raw, at = ids.tobytes(), 0
-            for unit, stop in zip(group, (4 * stops).tolist()):
-                self.memo[unit] = raw[at:stop]
+            for part, stop in zip(group, (4 * stops).tolist()):
+                self.memo[part] = raw[at:stop]
                 at = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        memo, cut = self.memo, [CUT.split(t) for t in texts]
-        odd: dict[str, bytes] = {}  # first and last units, and long ones: they may hold anything
-        new: dict[str, None] = {}
-        for units in cut:
-            odd[units[0]] = odd[units[-1]] = b""
-            for unit in units[1:-1]:
-                if unit not in memo:
-                    if len(unit) <= LONG_UNIT:
-                        new[unit] = None
-                    else:
-                        odd[unit] = b""
-        self._learn(list(new))
-        for unit, ids in zip(odd, self._plain(list(odd))):
-            odd[unit] = ids.tobytes()
-        out = []
-        for units in cut:
-            middle = [memo.get(u) or odd[u] for u in units[1:-1]]
-            last = [odd[units[-1]]] if len(units) > 1 else []
-            out.append(b"".join([odd[units[0]], *middle, *last]))
+        memo = self.memo
+        if len(memo) > MEMO_PARTS:
+            memo.clear()
+        cut = [t.split(" ") for t in texts]
+        odd = {p for p in set().union(*cut) - memo.keys() if not SAFE.fullmatch(p)}
+        if odd:  # such texts are cut at safe spaces only
+            cut = [p if odd.isdisjoint(p) else CUT.split(t) for p, t in zip(cut, texts)]
+        new = set().union(*(p[1:] for p in cut)) - memo.keys()
+        known = {p for p in new if len(p) <= LONG_PART and SAFE.fullmatch(p)}
+        self._learn(list(known))
+        # What begins a text has no space before it; long or odd parts aren't remembered.
+        starts, rest = list({p[0] for p in cut}), list(new - known)
+        ids = self._plain(starts + [" " + p for p in rest])
+        first, once = dict(zip(starts, (x.tobytes() for x in ids))), dict(zip(rest, (x.tobytes() for x in ids[len(starts) :])))
+        memo.update(once)
+        out = [b"".join([first[p[0]], *map(memo.__getitem__, p[1:])]) for p in cut]
+        for part in once:
+            del memo[part]
         return out
 
 

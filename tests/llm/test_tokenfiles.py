@@ -78,3 +78,16 @@ def test_another_dictionary_is_refused(spark, written):
     manifest, folder = written
     with pytest.raises(Exception, match="another dictionary"):
         tokenfiles.read_tokens(manifest.withColumn("dictionary", F.lit("00" * 32)), folder).collect()
+
+
+def test_cut_texts_encode_like_whole_ones(spark):
+    import random
+
+    rnd = random.Random(3)
+    encoder = tokenfiles.Encoder(open(vocabulary_path(), encoding="utf-8").read())
+    pieces = ["a", "it's", "'s", "x" * 60, "é", "12", "(", ")", ".", " ", "  ", "\t", "\n", "\x85", "\xa0", "　", "\x1c", "<|endoftext|>", "漢", "😀", "​", "-", "’re"]
+    texts = ["".join(rnd.choice(pieces) + rnd.choice(["", " ", " "]) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    plain = library()
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == [plain(t)[:-1] for t in part]
