@@ -20,7 +20,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ import zstandard
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.llm.bpe import _ship
+from gleaner.llm.bpe import _ship, byte_letters
 from gleaner.plans.workspace import fresh_dir, stored
 from gleaner.sources.files import resolve
 
@@ -49,7 +50,7 @@ SAFE = re.compile(r"[\w!-~](?:[\s\S]*[\w!-~])?")
 
 
 class Encoder:
-    """The library's ids of whole texts, as bytes; parts between safe spaces are encoded once and remembered."""
+    """The ids of whole texts that the library gives with a byte-level vocabulary, as bytes; parts between safe spaces are encoded once and remembered."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -62,19 +63,54 @@ class Encoder:
         # Bytes of text behind each id; in a byte-level vocabulary every letter of a piece stands for a byte.
         self.widths = np.array([len(special[i].encode()) if i in special else len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
         self.memo: dict[str, bytes] = {}
+        letters = byte_letters()
+        self.letters, self.blank = {b: letters[b] for b in range(256)}, letters[0x20]
+        self.marks = {m: self._plain([m])[0].tobytes() for m in ".,;:!?"}
+        self.line = self._plain(["\n"])[0].tobytes()
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Remember parts with the space before them: a thousand at once, as a running text whose ids are cut where they end."""
-        groups = [parts[i : i + 1000] for i in range(0, len(parts), 1000)]
+    def _word(self, word: str) -> bytes | None:
+        """Ids of letters, with or without a closing mark, after a space (or at the start of a line, if a line break leads).
+
+        Letters are one word of the pattern, so the library's model is asked directly. ``None`` for anything else.
+        """
+        found = self.memo.get(word)
+        if found is None:
+            mark = self.marks.get(word[-1:])
+            if mark and word[-2:-1].isalpha():
+                if (found := self._word(word[:-1])) is not None:
+                    found += mark
+            elif (bare := word.removeprefix("\n")).isalpha():
+                shown = bare if bare.isascii() else bare.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.tokenize(self.blank + shown if bare is word else shown)]).tobytes()
+            if found is not None:
+                self.memo[word] = found
+        return found
+
+    def _learn(self, parts: Iterable[str]) -> None:
+        """Remember parts with the space before them.
+
+        Words, and two words with a line break between, are put together; the rest is encoded a
+        thousand parts at once, as a running text whose ids are cut where the parts end.
+        """
+        memo, word, others = self.memo, self._word, []
+        for part in parts:
+            if word(part) is None:
+                left, line, right = part.partition("\n")
+                if line and (a := word(left)) is not None and (b := word(line + right)) is not None:
+                    memo[part] = a + self.line + b
+                else:
+                    others.append(part)
+        groups = [others[i : i + 1000] for i in range(0, len(others), 1000)]
         for group, ids in zip(groups, self._plain([" " + " ".join(g) for g in groups])):
             ends = np.cumsum([len(p.encode()) + 1 for p in group])
             stops = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1
             raw, at = ids.tobytes(), 0
             for part, stop in zip(group, (4 * stops).tolist()):
-                self.memo[part] = raw[at:stop]
+                memo[part] = raw[at:stop]
                 at = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -82,14 +118,16 @@ class Encoder:
         if len(memo) > MEMO_PARTS:
             memo.clear()
         cut = [t.split(" ") for t in texts]
-        odd = {p for p in set().union(*cut) - memo.keys() if not SAFE.fullmatch(p)}
+        new = set().union(*cut) - memo.keys()
+        odd = {p for p in new if not SAFE.fullmatch(p)}
         if odd:  # such texts are cut at safe spaces only
             cut = [p if odd.isdisjoint(p) else CUT.split(t) for p, t in zip(cut, texts)]
-        new = set().union(*(p[1:] for p in cut)) - memo.keys()
-        known = {p for p in new if len(p) <= LONG_PART and SAFE.fullmatch(p)}
-        self._learn(list(known))
+            new = set().union(*cut) - memo.keys()
+            odd = {p for p in new if not SAFE.fullmatch(p)}
+        odd.update(p for p in new if len(p) > LONG_PART)
+        self._learn(new - odd)
         # What begins a text has no space before it; long or odd parts aren't remembered.
-        starts, rest = list({p[0] for p in cut}), list(new - known)
+        starts, rest = list({p[0] for p in cut}), list(odd)
         ids = self._plain(starts + [" " + p for p in rest])
         first, once = dict(zip(starts, (x.tobytes() for x in ids))), dict(zip(rest, (x.tobytes() for x in ids[len(starts) :])))
         memo.update(once)
