@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import bpe, decontaminate, licenses, linededup, ngram_join, quality, tokenfiles, topk, toxicity, urlfilter, warc
+from gleaner.llm import bpe, collocations, decontaminate, licenses, linededup, ngram_join, quality, tokenfiles, topk, toxicity, urlfilter, warc
 
 #: The rules the URL query judges by.
 URL_RULES = [
@@ -89,6 +89,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = tokenfiles.token_folder(docs)
@@ -109,6 +114,7 @@ QUERIES = {
         op8_line_dedup,
         op9_pivot_top_k,
         op10_bpe,
+        op11_collocations,
         op13_token_files,
     )
 }

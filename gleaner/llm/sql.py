@@ -70,10 +70,30 @@ TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(2
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM s QUALIFY rank <= 5"""
 
+COLLOCATIONS = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex({_lower("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+  sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+  g AS (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, range(1, 5) t(k)),
+  f AS (SELECT lang, g, len(g) AS k, array_to_string(g, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 30),
+  c AS (SELECT * FROM f WHERE k > 1),
+  part AS (SELECT lang, f, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(g[i:i + m - 1], ' '))))) AS phrase
+    FROM c WHERE k > 2),
+  inside AS (SELECT lang, phrase, max(f) AS most FROM part GROUP BY lang, phrase),
+  kept AS (SELECT c.* FROM c LEFT JOIN inside i USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * f),
+  cut AS (SELECT lang, phrase, f AS a, g, k, unnest(range(1, k)) AS m FROM kept),
+  scored AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.g[1:m], ' ')
+      JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.g[m + 1:cut.k], ' ')
+    QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, m) = 1)
+  SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+  FROM scored JOIN sizes USING (lang) QUALIFY rank <= 2000"""
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": NGRAM_JACCARD,
     "op4_winnowing": WINNOWING,
     "op6_warc_index": WARC,
     "op7_url_filter": URL_FILTER,
     "op9_pivot_top_k": TOP_K,
+    "op11_collocations": COLLOCATIONS,
 }
