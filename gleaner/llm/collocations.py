@@ -3,13 +3,13 @@
 Tasks cut their texts into pieces and words and lay them down as shards: word numbers in text
 order, with separators between pieces. Words that are frequent in their language get an id for the whole
 corpus; in each shard all others become separators, because no frequent phrase holds them. The Burrows-Wheeler
-transform of a shard and that of its reversal, sorted as deep as phrases are long, make a
+transform of some shards and that of their reversal, sorted as deep as phrases are long, make a
 bidirectional index: an interval of the first extends to the left, one of the second to the right.
 
-Phrases grow by a word at a time. Each shard extends the intervals of the phrases that are frequent in the
-whole corpus and whose last words are frequent too, a sum over the shards tells which of the longer ones are,
-and these go back to the shards that have them. So phrases that can't count any more are never listed, and a phrase
-is one row a shard however often it occurs.
+Phrases grow by a word at a time. Each index extends the intervals of the phrases that are frequent in the
+whole corpus and whose last words are frequent too, a sum over the indexes tells which of the longer ones are,
+and these go back to the indexes that have them. So phrases that can't count any more are never listed, and a phrase
+is one row an index however often it occurs.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gleaner.llm.sides import checked_broadcast
 from gleaner.plans.workspace import fresh_dir, stored
 from gleaner.sources.files import resolve
 
@@ -35,6 +36,8 @@ SHARE = 80  # percent of a phrase's occurrences inside a longer one that make it
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
 SHARD_WORDS = 2_000_000
+INDEX_WORDS = 6_000_000  # at most, of the shards that share an index, but for the last one
+BLOCK = 1 << 20  # occurrences looked at together
 #: Characters that end a piece, and blanks between words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _FROM = bytes(range(65, 91)) + PIECE_ENDS + b"\t"
@@ -180,18 +183,25 @@ class Transform:
 
     def extensions(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(pattern, symbol, count)`` of all words that stand before the patterns' occurrences."""
+        ends = np.cumsum(high - low)
+        blocks = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, BLOCK))
+        blocks = np.unique([0, *blocks, len(low)])
+        found = [self._extensions(low[a:b], high[a:b], a) for a, b in zip(blocks, blocks[1:])]
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 3
+
+    def _extensions(self, low: np.ndarray, high: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = high - low
         owner = np.repeat(np.arange(len(low)), size)
         places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
         symbol = self.bwt[places]
         symbols = len(self.before) - 1
         key, count = np.unique((owner * symbols + symbol)[symbol > 0], return_counts=True)
-        return key // symbols, key % symbols, count
+        return key // symbols + first, key % symbols, count
 
 
 @dataclass
 class Index:
-    """Both transforms of a shard, and the corpus-wide ids of its symbols 1, 2, …, ascending."""
+    """Both transforms of a text, and the corpus-wide ids of its symbols 1, 2, …, ascending."""
 
     ids: np.ndarray
     left: Transform
@@ -235,20 +245,35 @@ def _keys(n: int) -> list[str]:
     return [f"w{i}" for i in range(1, n + 1)]
 
 
-def _found(shard: int, index: Index, phrases: np.ndarray, count: np.ndarray) -> pa.Table:
+def _found(number: int, index: Index, phrases: np.ndarray, count: np.ndarray) -> pa.Table:
     columns = [pa.array(index.ids[phrases[:, i] - 1], pa.int64()) for i in range(phrases.shape[1])]
-    columns += [pa.array(np.full(len(count), shard), pa.int64()), pa.array(count, pa.int64())]
-    return pa.Table.from_arrays(columns, [*_keys(phrases.shape[1]), "shard", "n"])
+    columns += [pa.array(np.full(len(count), number), pa.int64()), pa.array(count, pa.int64())]
+    return pa.Table.from_arrays(columns, [*_keys(phrases.shape[1]), "index", "n"])
 
 
 def _schema(n: int) -> str:
-    return ", ".join(f"{c} long" for c in [*_keys(n), "shard", "n"])
+    return ", ".join(f"{c} long" for c in [*_keys(n), "index", "n"])
 
 
 def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of phrases that all shards together hold often enough, with that sum; written. A phrase has a row a shard."""
+    """Rows of phrases that all indexes together hold often enough, with that sum; written. A phrase has a row an index."""
     total = F.sum("n").over(Window.partitionBy(*keys))
-    return stored(rows.withColumn("f", total).where(F.col("f") >= least).select(*keys, "shard", "f"), "phrase-level")
+    return stored(rows.withColumn("f", total).where(F.col("f") >= least).select(*keys, "index", "f"), "phrase-level")
+
+
+def _groups(shards: DataFrame) -> DataFrame:
+    """``(shard, index)``: the shards that share an index, packed by size; a row a shard.
+
+    An index holds up to ``INDEX_WORDS`` words, and less where the table has too few words to keep all tasks busy.
+    """
+    sizes = stored(shards.groupBy("shard").agg(F.sum("n").alias("n")), "phrase-shards")
+    count, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    most = min(INDEX_WORDS, max(SHARD_WORDS, total // (2 * shards.sparkSession.sparkContext.defaultParallelism)))
+    bucket = F.pmod(F.xxhash64("shard"), F.lit(max(1, count // 1000)))  # about a thousand shards are packed together
+    filled = F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - 1
+    sizes = sizes.withColumn("bucket", bucket).withColumn("nth", F.floor(filled / F.lit(most)).cast("long"))
+    index = F.col("bucket") * F.lit(1 << 32) + F.col("nth")
+    return checked_broadcast(stored(sizes.select("shard", index.alias("index")), "phrase-groups"))
 
 
 def frequent_phrases(
@@ -263,37 +288,40 @@ def frequent_phrases(
     folder = fresh_dir(spark, "phrases")
     shards = write_shards(docs, folder, text_col, lang_col)
     sizes = stored(shards.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
+    groups = _groups(shards)
     often = shards.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = stored(often.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "phrase-frequent")
-    mapped = shards.select("shard", "lang", "word", "local").join(words.select("id", "lang", "word"), ["lang", "word"]).select("shard", "local", "id")
+    mapped = shards.select("shard", "lang", "word", "local").join(words.select("id", "lang", "word"), ["lang", "word"])
+    mapped = mapped.join(groups, "shard").select("index", "shard", "local", "id")
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
         filesystem, target = resolve(folder)
-        shard = key[0].as_py()
-        ids, local = group.column("id").to_numpy(), group.column("local").to_numpy()
-        order = np.argsort(ids)
-        (text,) = _load(filesystem, target, f"{shard}.text")
-        symbol = np.zeros(max(int(text.max()), int(local.max())) + 1, np.int32)
-        symbol[local[order]] = np.arange(1, len(ids) + 1)
-        text = symbol[text]
-        text = text[(text > 0) | np.concatenate([[True], text[:-1] > 0])]  # one separator is enough
-        index, arrays = Index.build(text, ids[order], longest)
-        _save(filesystem, target, f"{shard}.index", arrays)
-        return _found(shard, index, *index.extend(np.arange(1, len(ids) + 1)[:, None]))
+        number = key[0].as_py()
+        ids, symbol_of = np.unique(group.column("id").to_numpy(), return_inverse=True)
+        shard, local, texts = group.column("shard").to_numpy(), group.column("local").to_numpy(), []
+        for name in np.unique(shard):
+            (text,), own = _load(filesystem, target, f"{name}.text"), shard == name
+            symbol = np.zeros(max(int(text.max()), int(local[own].max())) + 1, np.int32)
+            symbol[local[own]] = symbol_of[own] + 1
+            text = symbol[text]
+            texts.append(text[(text > 0) | np.concatenate([[True], text[:-1] > 0])])  # one separator is enough
+        index, arrays = Index.build(np.concatenate(texts), ids, longest)
+        _save(filesystem, target, f"{number}.index", arrays)
+        return _found(number, index, *index.extend(np.arange(1, len(ids) + 1)[:, None]))
 
     def extend(key: tuple, group: pa.Table) -> pa.Table:
         filesystem, target = resolve(folder)
-        shard, n = key[0].as_py(), group.num_columns - 2
-        index = Index.opened(_load(filesystem, target, f"{shard}.index"))
+        number, n = key[0].as_py(), group.num_columns - 2
+        index = Index.opened(_load(filesystem, target, f"{number}.index"))
         phrases = np.column_stack([np.searchsorted(index.ids, group.column(c).to_numpy()) + 1 for c in _keys(n)])
-        return _found(shard, index, *index.extend(phrases))
+        return _found(number, index, *index.extend(phrases))
 
     levels = [words.select(F.array("id").alias("key"), "f")]
-    rows = mapped.groupBy("shard").applyInArrow(build, _schema(2))
+    rows = mapped.groupBy("index").applyInArrow(build, _schema(2))
     for n in range(2, longest + 1):
         level = _frequent(rows, _keys(n), least)
         levels.append(level.groupBy(*_keys(n)).agg(F.max("f").alias("f")).select(F.array(*_keys(n)).alias("key"), "f"))
-        rows = level.groupBy("shard").applyInArrow(extend, _schema(n + 1)) if n < longest else rows
+        rows = level.groupBy("index").applyInArrow(extend, _schema(n + 1)) if n < longest else rows
     phrases = levels[0]
     for level in levels[1:]:
         phrases = phrases.unionByName(level)
