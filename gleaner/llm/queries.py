@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import bpe, collocations, decontaminate, licenses, linededup, ngram_join, quality, tokenfiles, topk, toxicity, urlfilter, warc
+from gleaner.llm import bpe, collocations, conversations, decontaminate, licenses, linededup, ngram_join, quality, tokenfiles, topk, toxicity, urlfilter, warc
 
 #: The rules the URL query judges by.
 URL_RULES = [
@@ -94,6 +94,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = tokenfiles.token_folder(docs)
@@ -115,6 +119,7 @@ QUERIES = {
         op9_pivot_top_k,
         op10_bpe,
         op11_collocations,
+        op12_conversation_repair,
         op13_token_files,
     )
 }
