@@ -152,13 +152,17 @@ def write_shards(docs: DataFrame, folder: str, text_col: str = "text", lang_col:
 
 def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` symbols from there on (around the end); prefixes double from pass to pass."""
-    rank, have = text.astype(np.int64), 1
+    rank, have = text, 1
     while True:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -have)
-        have *= 2
+        key = rank.astype(np.int64)
+        key *= int(rank.max()) + 1
+        key += np.roll(rank, -have)
+        order, have = np.argsort(key), 2 * have
         if have >= depth:
-            return np.argsort(key, kind="stable")
-        rank = np.unique(key, return_inverse=True)[1]
+            return order
+        key = key[order]
+        rank = np.zeros(len(text), np.int32)
+        rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
 
 
 class Transform:
@@ -276,6 +280,19 @@ def _groups(shards: DataFrame) -> DataFrame:
     return checked_broadcast(stored(sizes.select("shard", index.alias("index")), "phrase-groups"))
 
 
+def _numbered(often: DataFrame) -> DataFrame:
+    """``(id, lang, word, f)``: ids from 0 without gaps, frequent words first, so that most ids are short."""
+    order = [F.desc("f"), F.col("lang"), F.col("word")]
+    row = F.monotonically_increasing_id()
+    placed = often.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(placed.select(F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("place"), "*"), "phrase-frequent")
+    # A row per range partition, a number this job chose itself.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    numbered = placed.join(F.broadcast(starts), "part").select((F.col("start") + F.col("place")).alias("id"), "lang", "word", "f")
+    return stored(numbered, "phrase-numbered")
+
+
 def frequent_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = MIN_COUNT
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -290,7 +307,7 @@ def frequent_phrases(
     sizes = stored(shards.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
     groups = _groups(shards)
     often = shards.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = stored(often.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "phrase-frequent")
+    words = _numbered(often)
     mapped = shards.select("shard", "lang", "word", "local").join(words.select("id", "lang", "word"), ["lang", "word"])
     mapped = mapped.join(groups, "shard").select("index", "shard", "local", "id")
 
