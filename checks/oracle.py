@@ -172,6 +172,8 @@ def _flat(sql: str) -> str:
 ORACLE: dict[str, str] = {
     # sources
     "read_corpus": "SELECT CAST(doc_id AS VARCHAR) AS docid, text, lang FROM documents",
+    "read_gzip_corpus": """SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS pos, CAST(doc_id AS VARCHAR) AS docid,
+      text, 'en' AS lang FROM documents""",
     "read_topics": f"""WITH {TOPICS} SELECT query_id, query, CAST(quality = 1 AS BIGINT) AS n_positive,
       CAST(toxic = 1 AS BIGINT) AS n_negative, 'test' AS split FROM topics""",
     "topic_qrels": f"WITH {TOPICS} SELECT query_id AS qid, query_id AS docid, 1 AS rel FROM topics WHERE quality = 1",

@@ -63,6 +63,16 @@ def read_corpus(spark, sf):
     return reduce(DataFrame.unionByName, frames)
 
 
+@query
+def read_gzip_corpus(spark, sf):
+    """All documents in one gzip file, read in ranges with the places of their lines."""
+    path = f"{fresh_dir(spark, 'gzip')}/corpus.jsonl.gz"
+    docs = I.corpus(spark, sf).repartitionByRange(1, "docid").sortWithinPartitions("docid")
+    docs.write.option("compression", "gzip").json(path)  # one file, by one task, as such corpora are
+    rows = C.read_gzip_corpus(spark, path, "en", split_bytes=1 << 16)
+    return rows.select("pos", "docid", "text", "lang")
+
+
 def written_topics(spark, sf) -> DataFrame:
     root = fresh_dir(spark, "topics")
     # Null passage lists stay out of the JSON, as in the original files.
