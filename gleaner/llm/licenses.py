@@ -73,7 +73,7 @@ FORMS = [
 #: Names that say enough on their own, by number of words.
 BARE_WORDS, BARE_CONFIDENCE = 3, 0.7
 #: The phrases every scan reports whatever else it finds.
-BASE = [("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:

@@ -57,7 +57,7 @@ def test_license_scan(spark):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     for i, t in enumerate(texts):
         w, places, labels = words(t), [], set()
-        for phrase, label in licenses.BASE:
+        for phrase, label in [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]:
             p = phrase.split()
             here = [k for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
             places += here
