@@ -318,6 +318,28 @@ ORACLE: dict[str, str] = {
       alls AS (SELECT q.qid, v.docid, round(list_distance(s.vec, v.vec), 6) AS score FROM queries q
         JOIN scaled s ON s.docid = q.qid CROSS JOIN scaled v)
       SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score, docid) AS rank FROM alls QUALIFY rank <= 100""",
+    "phrase_search": r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS docid,
+        list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+      t AS (SELECT docid, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+      kept AS (SELECT * FROM t WHERE length(term) BETWEEN 3 AND 84),
+      dl AS (SELECT docid, count(*) AS dl FROM kept GROUP BY docid),
+      st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
+      b AS (SELECT CAST(item_id AS VARCHAR) AS qid,
+        list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM benchmark),
+      part AS (SELECT qid, 0 AS slop, unnest(w[1:3]) AS term, unnest(range(len(w[1:3]))) AS place FROM b
+        UNION ALL SELECT qid, 3, unnest(w[5:6]), unnest(range(len(w[5:6]))) FROM b),
+      q AS (SELECT qid, slop, term, place - min(place) OVER (PARTITION BY qid, slop) AS place,
+        count(*) OVER (PARTITION BY qid, slop) AS parts FROM part WHERE length(term) BETWEEN 3 AND 84),
+      exact AS (SELECT DISTINCT qid, slop, docid, pos - place AS p FROM q JOIN kept USING (term) WHERE slop = 0 OR parts = 1
+        GROUP BY qid, slop, docid, pos - place, parts HAVING count(*) = parts),
+      loose AS (SELECT DISTINCT x.qid, x.slop, a.docid, a.pos AS p FROM q x JOIN q y ON y.qid = x.qid AND y.slop = x.slop AND y.place > 0
+        JOIN kept a ON a.term = x.term JOIN kept c ON c.docid = a.docid AND c.term = y.term AND c.pos - a.pos BETWEEN y.place AND y.place + 3
+        WHERE x.slop = 3 AND x.place = 0),
+      tf AS (SELECT qid, slop, docid, count(*)::DOUBLE AS tf FROM (SELECT * FROM exact UNION ALL SELECT * FROM loose) GROUP BY ALL),
+      df AS (SELECT qid, slop, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+      s AS (SELECT qid, docid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+        FROM tf JOIN df USING (qid, slop) JOIN dl USING (docid), st GROUP BY qid, docid)
+      SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s QUALIFY rank <= 100""",
     "sparse_search": f"""WITH {SPARSE}, {QUERIES}, alls AS (SELECT q.qid, d.docid, round(sum(s.val::DOUBLE * d.val::DOUBLE), 6) AS score
       FROM queries q JOIN sparse s ON s.docid = q.qid JOIN sparse d ON d.idx = s.idx GROUP BY ALL), {_ranked('alls', 100, 'hits')}
       SELECT qid, docid, score, rank FROM hits""",

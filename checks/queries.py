@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks.oracle import K_EVAL, NPROBE
+from gleaner.functions import text as T
 from gleaner.functions import vectors as V
 from gleaner.functions.encoders import HashingEncoder, HashingTokenEncoder
 from gleaner.operators import ann, chunking, encode, evaluate, fulltext, fusion, hits, positions
-from gleaner.operators import rerank, routing, vectorsearch
+from gleaner.operators import phrases, rerank, routing, vectorsearch
 from gleaner.operators.explain import explain_query
 from gleaner.operators.topk import rounded, top_k
 from gleaner.plans import load, maintenance
@@ -697,6 +698,16 @@ def dense_search_unnormalized(spark, sf):
     return vectorsearch.dense_search(scaled_queries(spark, sf), I.scaled_vectors(spark, sf), 100)
 
 
+@query
+def phrase_search(spark, sf):
+    """The first three words of every benchmark text as a phrase, and the fifth and sixth with a slop."""
+    words = F.filter(T.pieces(F.col("query")), lambda p: p != "")
+    texts = I.queries(spark, sf).select("qid", words.alias("w"))
+    clause = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    asked = texts.select("qid", F.concat(F.lit('"'), clause(1, 3), F.lit('" "'), clause(5, 2), F.lit('"~3')).alias("query"))
+    return phrases.phrase_search(asked, phrases.build_positional_index(I.corpus(spark, sf)), 100)
+
+
 @query
 def sparse_search(spark, sf):
     return vectorsearch.sparse_search(I.query_sparse(spark, sf), I.sparse_vectors(spark, sf), 100)

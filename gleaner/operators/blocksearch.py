@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from gleaner.functions.blocks import MATRIX_ELEMENTS, LocalTopK, QueryBlock
-from gleaner.operators.bounds import broadcast_if_small
+from gleaner.operators.bounds import broadcast_if_small, scan_tasks
 from gleaner.operators.topk import top_k
 
 METRICS = ("l2", "ip", "maxsim", "equal_bits")
@@ -138,8 +138,8 @@ def block_scores(
 
         # Every task hands on up to k hits per query: a few long tasks per core keep
         # that volume independent of the number of input splits. No shuffle here.
-        tasks = TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
-        return docs.coalesce(tasks).mapInArrow(score, out)
+        # A large table has a task for some gigabytes, so that a lost one repeats no more than that.
+        return docs.coalesce(scan_tasks(docs, TASKS_PER_CORE)).mapInArrow(score, out)
 
     return _blocked(queries, docs, k, metric, multi, routed, out, arrow_out)
 

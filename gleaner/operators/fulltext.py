@@ -195,7 +195,7 @@ def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
         weighted = _weighted_terms(local, doc_freqs, stats)
         return postings.join(F.broadcast(weighted), ["lang", "term"])
     weighted = _weighted_terms(terms, doc_freqs, stats)
-    return salted_join(postings, weighted, ["lang", "term"], "docid")
+    return salted_join(postings, weighted, ["lang", "term"], "docid", counted="df")
 
 
 def bm25_weight(k1: float = BM25_K1, b: float = BM25_B) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from gleaner.functions.constants import MAX_HITS
 from gleaner.operators.blocksearch import QUERY_BROADCAST_ROWS, block_search
-from gleaner.operators.bounds import local_rows, salted_join
+from gleaner.operators.bounds import salted_join, small_table
+from gleaner.operators.sparsesearch import sparse_hits
 from gleaner.operators.topk import query_keys, rounded, top_k
 
 
@@ -87,20 +89,21 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int = MAX_HITS) -> Dat
     """Inner product over shared indices of sparse vectors.
 
     ``queries`` has ``qid, sparse`` and ``docs`` has ``docid, sparse``, both maps
-    from index to weight. A document is one row: with few query entries its scores come
-    from its own row against a broadcast table, and only sums by (query, document) are shuffled.
+    from index to weight. A document is one row: with few query entries it is scored where it
+    lies, and only the best hits of each task are shuffled. More query entries than may be
+    broadcast meet the documents' entries in a salted join.
     """
     keys = query_keys(queries)
     routed = [c for c in ("lang",) if c in queries.columns]
     query_entries = queries.select(*keys, F.explode("sparse").alias("idx", "qval"))
+    few = small_table(query_entries)
+    if few is not None:
+        schema = ST.StructType([*(queries.schema[c] for c in keys), docs.schema["docid"], ST.StructField("score", ST.DoubleType())])
+        return top_k(sparse_hits(few, keys, docs, k, schema), k)
     doc_entries = docs.select(
         *routed, "docid", F.explode("sparse").alias("idx", "dval")
     )
-    few = local_rows(query_entries)
-    if few is not None:
-        rows = doc_entries.join(F.broadcast(few), [*routed, "idx"])
-    else:
-        rows = salted_join(doc_entries, query_entries, [*routed, "idx"], "docid")
+    rows = salted_join(doc_entries, query_entries, [*routed, "idx"], "docid")
     scores = rows.groupBy(*keys, "docid").agg(
         rounded(F.sum(F.col("qval").cast("double") * F.col("dval").cast("double"))).alias("score")
     )

@@ -161,3 +161,14 @@ def test_a_third_of_all_documents_being_copies_changes_nothing(spark):
     assert got == sorted(want)
     top = rows(fulltext.bm25_search(queries.where("qid = 'q1'"), index, 10), "rank", "docid")
     assert sorted(top) == [(i + 1, f"c{i:03d}") for i in range(10)]
+
+
+def test_only_counted_hot_keys_are_repeated(spark):
+    from gleaner.operators.bounds import salted_join
+
+    rows_ = spark.range(1000).selectExpr("case when id % 4 = 0 then concat('t', id) else 'hot' end as term", "id as docid")
+    side = rows_.groupBy("term").count().withColumnRenamed("count", "df")
+    joined = salted_join(rows_, side, ["term"], "docid", counted="df", rows_per_salt=100)
+    assert joined.count() == 1000 and joined.columns == ["term", "docid", "df"]
+    assert rows(joined.where("term = 'hot'").select("docid"), "docid") == rows(rows_.where("term = 'hot'"), "docid")
+    assert {r.df for r in joined.collect()} == {1, 750}

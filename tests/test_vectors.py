@@ -208,7 +208,7 @@ def test_sparse_search_without_broadcast(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     args = I.query_sparse(spark, sf), I.sparse_vectors(spark, sf), 5
     want = rows(vectorsearch.sparse_search(*args), "qid", "docid", "score", "rank")
-    monkeypatch.setattr(vectorsearch, "local_rows", lambda df: None)
+    monkeypatch.setattr(vectorsearch, "small_table", lambda df: None)
     assert rows(vectorsearch.sparse_search(*args), "qid", "docid", "score", "rank") == want
 
 
@@ -234,3 +234,54 @@ def test_first_places_equal_a_stable_sort():
 def test_cells_follow_the_number_of_vectors(spark):
     vectors = vec_frame(spark, [f"d{i}" for i in range(100)], rng.normal(size=(100, 4)))
     assert ann.build_vector_index(vectors).centroids.count() == 10
+
+
+def test_sparse_search_equals_brute_force(spark, monkeypatch):
+    from gleaner.operators import sparsesearch
+
+    rnd = np.random.default_rng(4)
+
+    def some(n, size):
+        return [{int(i): float(rnd.normal()) for i in rnd.choice(60, rnd.integers(0, size), replace=False)} for _ in range(n)]
+
+    docs = [(str(rnd.choice(["en", "fr"])), f"d{i}", m) for i, m in enumerate(some(300, 12))] + [("en", "none", None), ("fr", "neg", {-1: 2.0, 3: 1.0})]
+    asked = [(str(rnd.choice(["en", "fr", "de"])), i, m) for i, m in enumerate(some(25, 6))] + [("fr", 99, {-1: 1.5}), ("en", 98, {1: float(rnd.normal())}), ("fr", 98, {1: 1.0})]
+    given = spark.createDataFrame([(a, b, c) for a, b, c in docs], "lang string, docid string, sparse map<int,float>").repartition(4)
+    queries = spark.createDataFrame(asked, "lang string, qid long, sparse map<int,float>")
+    f32 = lambda m: {i: float(np.float32(v)) for i, v in (m or {}).items()}
+
+    def brute(routed, k):
+        out = []
+        for lang, qid, q in asked:
+            q, scored = f32(q), []
+            for other, docid, d in docs:
+                d = f32(d)
+                if (not routed or other == lang) and q.keys() & d.keys():
+                    scored.append((-round(sum(q[i] * d[i] for i in q.keys() & d.keys()), 6) + 0.0, docid))
+            out += [(lang, qid, docid, rank) for rank, (_, docid) in enumerate(sorted(scored)[:k], 1)]
+        return sorted(out, key=repr)
+
+    for cells in (1, 4_000_000):
+        monkeypatch.setattr(sparsesearch, "CELLS", cells)
+        for k in (3, 1000):
+            found = vectorsearch.sparse_search(queries, given, k)
+            assert rows(found, "lang", "qid", "docid", "rank") == brute(True, k)
+    single = queries.where("qid < 98").drop("lang")
+    got = rows(vectorsearch.sparse_search(single, given, 5), "qid", "docid", "rank")
+    assert got == sorted([r[1:] for r in brute(False, 5) if r[1] < 98], key=repr)
+
+
+def test_sparse_search_shuffles_only_hits(spark):
+    docs = spark.createDataFrame([(f"d{i}", {1: float(i), 2: 1.0}) for i in range(500)], "docid string, sparse map<int,float>").repartition(2)
+    queries = spark.createDataFrame([("q", {1: 1.0, 2: 1.0})], "qid string, sparse map<int,float>")
+    plan = vectorsearch.sparse_search(queries, docs, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan and "Join" not in plan
+
+
+def test_scans_of_large_tables_have_more_tasks(spark, monkeypatch):
+    from gleaner.operators import bounds
+
+    df = spark.range(1_000_000)
+    few = bounds.scan_tasks(df, 4)
+    monkeypatch.setattr(bounds, "TASK_BYTES", 1000)
+    assert few == 4 * spark.sparkContext.defaultParallelism and bounds.scan_tasks(df, 4) == 8000
