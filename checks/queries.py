@@ -14,7 +14,7 @@ from gleaner.functions import text as T
 from gleaner.functions import vectors as V
 from gleaner.functions.encoders import HashingEncoder, HashingTokenEncoder
 from gleaner.operators import ann, chunking, encode, evaluate, fulltext, fusion, hits, positions
-from gleaner.operators import phrases, rerank, routing, vectorsearch
+from gleaner.operators import blockmax, phrases, rerank, routing, vectorsearch
 from gleaner.operators.explain import explain_query
 from gleaner.operators.topk import rounded, top_k
 from gleaner.plans import load, maintenance
@@ -698,6 +698,14 @@ def dense_search_unnormalized(spark, sf):
     return vectorsearch.dense_search(scaled_queries(spark, sf), I.scaled_vectors(spark, sf), 100)
 
 
+@query
+def block_max_search(spark, sf):
+    """The first ten hits without the ranges of documents that can't reach them."""
+    index = fulltext.build_fulltext_index(I.corpus(spark, sf))
+    blocks = blockmax.save_block_index(blockmax.build_block_index(index, range_docs=16))
+    return blockmax.block_max_search(I.queries(spark, sf), blocks, 10)
+
+
 @query
 def phrase_search(spark, sf):
     """The first three words of every benchmark text as a phrase, and the fifth and sixth with a slop."""

@@ -168,7 +168,7 @@ PUSHED_TERMS = 2_000
 MAX_COLLECTIONS = 10_000
 
 
-def _weighted_terms(terms: DataFrame, doc_freqs: DataFrame, stats: DataFrame) -> DataFrame:
+def weighted_terms(terms: DataFrame, doc_freqs: DataFrame, stats: DataFrame) -> DataFrame:
     """Query terms with ``df, n, avgdl`` and the inverse document frequency."""
     n, df = F.col("n").cast("double"), F.col("df").cast("double")
     joined = terms.join(doc_freqs, ["lang", "term"]).join(stats, "lang")
@@ -192,9 +192,9 @@ def postings_join(terms: DataFrame, index: FullTextIndex) -> DataFrame:
             listed = F.expr("term IN ({})".format(", ".join(f"'{t}'" for t in vocabulary)))
             postings, doc_freqs = postings.where(listed), doc_freqs.where(listed)
         local = terms.sparkSession.createDataFrame(few, terms.schema)
-        weighted = _weighted_terms(local, doc_freqs, stats)
+        weighted = weighted_terms(local, doc_freqs, stats)
         return postings.join(F.broadcast(weighted), ["lang", "term"])
-    weighted = _weighted_terms(terms, doc_freqs, stats)
+    weighted = weighted_terms(terms, doc_freqs, stats)
     return salted_join(postings, weighted, ["lang", "term"], "docid", counted="df")
 
 
