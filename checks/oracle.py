@@ -304,6 +304,8 @@ ORACLE: dict[str, str] = {
       FROM events GROUP BY event_type""",
     # search
     "bm25_search": f"WITH {_bm25(1000)} SELECT qid, docid, score, rank FROM bm25",
+    "pq_search": """SELECT count(*) AS n_queries, 10 * count(*) AS n_hits, true AS recall_reached
+      FROM embeddings WHERE vec_id % 20 = 0""",
     "block_max_search": f"WITH {_bm25(10)} SELECT qid, docid, score, rank FROM bm25",
     "bm25_search_saved_index": f"WITH {_bm25(100)} SELECT qid, docid, score, rank FROM bm25",
     "bm25_search_by_language": f"WITH {_bm25(100, TITLES, 'lang')} SELECT lang, qid, docid, score, rank FROM bm25",

@@ -14,7 +14,7 @@ from gleaner.functions import text as T
 from gleaner.functions import vectors as V
 from gleaner.functions.encoders import HashingEncoder, HashingTokenEncoder
 from gleaner.operators import ann, chunking, encode, evaluate, fulltext, fusion, hits, positions
-from gleaner.operators import blockmax, phrases, rerank, routing, vectorsearch
+from gleaner.operators import blockmax, phrases, pq, rerank, routing, vectorsearch
 from gleaner.operators.explain import explain_query
 from gleaner.operators.topk import rounded, top_k
 from gleaner.plans import load, maintenance
@@ -706,6 +706,19 @@ def block_max_search(spark, sf):
     return blockmax.block_max_search(I.queries(spark, sf), blocks, 10)
 
 
+@query
+def pq_search(spark, sf):
+    """Every twentieth vector against all codes: how many hits there are, and whether nine in ten are the exact ones."""
+    vectors = I.vectors(spark, sf)
+    asked = vectors.where(F.col("docid").cast("long") % 20 == 0).select(F.col("docid").alias("qid"), F.col("vec").alias("qvec"))
+    found = stored(pq.pq_search(asked, pq.build_code_index(vectors), 10), "pq")
+    exact = vectorsearch.dense_search(asked, vectors, 10)
+    right = exact.join(found.select("qid", "docid", F.lit(1).alias("hit")), ["qid", "docid"], "left")
+    share = right.agg((F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+    sizes = found.agg(F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_hits"))
+    return sizes.crossJoin(share)  # one row each
+
+
 @query
 def phrase_search(spark, sf):
     """The first three words of every benchmark text as a phrase, and the fifth and sixth with a slop."""
