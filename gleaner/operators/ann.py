@@ -17,6 +17,8 @@ from gleaner.operators.blocksearch import block_search
 
 # A cell list is sent to every task: at most this many centroids.
 MAX_CELLS = 65_536
+# Vectors that teach a cell, on average: the training doesn't grow with the table.
+TRAIN_PER_CELL = 256
 
 
 @dataclass(frozen=True)
@@ -33,15 +35,19 @@ def kmeans_centroids(
     seed: int = 42,
     max_iter: int = 20,
     train_fraction: float = 1.0,
+    train_per_cell: int = TRAIN_PER_CELL,
 ) -> DataFrame:
     """``(cell, centroid)`` of a k-means quantiser trained on ``vectors``.
 
-    The model holds ``n_cells`` centroids, a number the caller bounds. A smaller
-    ``train_fraction`` shortens the training only: every vector is indexed.
+    The model holds ``n_cells`` centroids, a number the caller bounds. It learns from some
+    ``train_per_cell`` vectors a cell, those with a small hash of their id (from all, if there are no more); a
+    smaller ``train_fraction`` takes that share of them. Every vector is indexed.
     """
     if not 0 < n_cells <= MAX_CELLS:
         raise ValueError(f"n_cells must be between 1 and {MAX_CELLS}")
-    trained = vectors if train_fraction >= 1.0 else vectors.sample(train_fraction, seed)
+    share = min(1.0, n_cells * train_per_cell / max(1, vectors.count())) * min(1.0, train_fraction)
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("docid")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    trained = vectors if share >= 1.0 else vectors.where(chosen)
     points = trained.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(points)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

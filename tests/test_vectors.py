@@ -285,3 +285,20 @@ def test_scans_of_large_tables_have_more_tasks(spark, monkeypatch):
     few = bounds.scan_tasks(df, 4)
     monkeypatch.setattr(bounds, "TASK_BYTES", 1000)
     assert few == 4 * spark.sparkContext.defaultParallelism and bounds.scan_tasks(df, 4) == 8000
+
+
+def test_cells_learn_from_a_bounded_share(spark):
+    from gleaner.operators import ann
+
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(12, 16)) * 3
+    data = [(f"d{i}", (centres[i % 12] + 0.3 * rnd.normal(size=16)).tolist()) for i in range(3000)]
+    vectors = spark.createDataFrame(data, "docid string, vec array<double>")
+    few = ann.kmeans_centroids(vectors, 12, train_per_cell=20)
+    assert few.count() == 12
+    index = ann.build_vector_index(vectors, centroids=few)
+    assert index.cells.count() == 3000
+    queries = vectors.where("docid in ('d5', 'd77', 'd1234')").withColumnsRenamed({"docid": "qid", "vec": "qvec"})
+    exact = vectorsearch.dense_search(queries, vectors, 10)
+    found = ann.ann_search(queries, index, 10, nprobe=4)
+    assert exact.join(found, ["qid", "docid"]).count() >= 0.9 * exact.count()
