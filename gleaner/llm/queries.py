@@ -79,9 +79,7 @@ def op9_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = bpe.prepare(docs, vocabulary_path())
-    encoded = bpe.encode(docs, files).select("doc_id", "ids")
-    decoded = bpe.decode(encoded, files)
-    return decoded.select(
+    return bpe.round_trip(docs, files).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -173,10 +173,38 @@ def test_bpe_equals_the_tokenizers_library(spark):
     for r in got:
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False) and (r.rest, r.made) == ("r", 1)
+    both = {r.doc_id: (r.ids, r.decoded) for r in bpe.round_trip(docs, files).collect()}
+    assert both == {r.doc_id: (r.ids, r.decoded) for r in got}
+    odd = spark.createDataFrame([(1, [5, None, -3, 10**6, 6]), (2, None), (3, [])], "i int, `ids` array<int>")
+    assert dict(rows(bpe.decode(odd, files), "i", "decoded")) == {1: library.decode([5, 6]), 2: "", 3: ""}
     none = docs.limit(0)
     assert bpe.encode(none, bpe.prepare(none, vocabulary_path())).count() == 0
 
 
+def test_latin_texts_are_cut_like_others():
+    cutter = bpe.Cutter({"<s>": 1})
+    rnd = random.Random(3)
+    for _ in range(3000):
+        text = "".join(chr(rnd.randrange(256)) if rnd.random() < 0.5 else rnd.choice(" \n's 'll9²a") for _ in range(rnd.randrange(40)))
+        assert cutter.latin(text) == cutter.any(text)
+    assert cutter.segments("a<s>b") == ["a", "<s>", "b"]
+
+
+def test_words_of_all_lengths_are_merged_like_the_library_does():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path())
+    with open(vocabulary_path(), encoding="utf-8") as handle:
+        vocabulary = bpe.Vocabulary(data=bpe.compile_vocabulary(handle.read()))
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("etaoinshrdlué") for _ in range(n)) for n in [*range(1, 70), 500, 5000] for _ in range(4)]
+    raw = [w.encode() for w in words]
+    lengths = np.array([len(w) for w in raw])
+    ids, sizes = vocabulary.merge(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    cut = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [c.tolist() for c in cut] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_lexicon_is_minimal_and_complete():
     pairs = [(w.encode(), (i, i + 1)) for i, w in enumerate(["tap", "taps", "top", "tops", "a", "äö", "stop", "stops"])]
     lexicon = bpe.Lexicon(data=bpe.compile_lexicon(pairs))
