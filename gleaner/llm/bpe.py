@@ -34,7 +34,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.plans.workspace import fresh_dir
+from gleaner.plans.workspace import fresh_dir, stored
 
 #: Fixed value: the pattern of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,6 +43,7 @@ LATIN = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼-¾", r"
 
 LEXICON_WORDS = 100_000
 COUNTED_WORDS = 300_000  # different words a task counts before it hands its counts on
+CLASSES = 16  # of frequencies, per factor of e
 SHORT_WORD = 48  # bytes; longer words are merged with a heap
 SLICE_CHARS = 1 << 20
 BITS, NO_JOIN = 20, 1 << 60  # ids have fewer bits
@@ -439,9 +440,10 @@ def _ship(spark: SparkSession, data: bytes, label: str) -> str:
 
 
 def frequent_words(docs: DataFrame, text_col: str, special: dict[str, int], n: int) -> list[str]:
-    """The ``n`` most frequent words over all whole texts, ties by the word.
+    """At most ``n`` words, the most frequent ones over all whole texts.
 
-    Tasks count many texts before anything is shuffled; ``n`` rows reach the driver.
+    Tasks count many texts before anything is shuffled. Words are taken by classes of like frequency as long as a whole
+    class fits, so only the sizes of some hundred classes and the words taken reach the driver, however many tasks there are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,9 +461,16 @@ def frequent_words(docs: DataFrame, text_col: str, special: dict[str, int], n: i
                     total.clear()
         yield _counts(total)
 
-    rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "word string, n long").where(F.length("word") <= LONG_WORD)
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [r.word for r in top.select("word").collect()]
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word string, n long").where(F.length("word") <= LONG_WORD)
+    words = rows.groupBy("word").agg(F.sum("n").alias("n"))
+    words = stored(words.select("word", F.floor(F.log("n") * CLASSES).cast("int").alias("class")), "bpe-words")
+    taken, least = 0, None
+    for r in words.groupBy("class").count().orderBy(F.desc("class")).collect():
+        taken += r["count"]
+        if taken > n:
+            break
+        least = r["class"]
+    return [] if least is None else [r.word for r in words.where(F.col("class") >= least).select("word").collect()]
 
 
 def _counts(total: dict[str, int]) -> pa.RecordBatch:

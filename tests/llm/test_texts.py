@@ -205,6 +205,14 @@ def test_words_of_all_lengths_are_merged_like_the_library_does():
     assert [c.tolist() for c in cut] == [library.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_frequent_words_come_in_whole_classes(spark):
+    texts = ["".join(f" w{i}".translate(str.maketrans("0123456789", "abcdefghij")) * n for i, n in enumerate([40, 40, 9, 5, 5, 5, 1]))] * 2 + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").toDF("te.xt").repartition(3)
+    take = lambda n: sorted(bpe.frequent_words(docs, "te.xt", {}, n))
+    assert take(2) == take(1) + [" wa", " wb"] and take(5) == [" wa", " wb", " wc"] and len(take(6)) == 6 and len(take(100)) == 7
+    assert bpe.frequent_words(docs.limit(0), "te.xt", {}, 10) == []
+
+
 def test_lexicon_is_minimal_and_complete():
     pairs = [(w.encode(), (i, i + 1)) for i, w in enumerate(["tap", "taps", "top", "tops", "a", "äö", "stop", "stops"])]
     lexicon = bpe.Lexicon(data=bpe.compile_lexicon(pairs))
