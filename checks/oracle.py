@@ -201,6 +201,8 @@ ORACLE: dict[str, str] = {
     # sinks
     "load_collection": f"""WITH {COLLECTION} SELECT lang, id, base_id, docid_col, fulltext_col,
       len(dense_col) AS dim, dense_col[1]::DOUBLE AS first_value FROM loaded""",
+    "replace_collection": f"""WITH {COLLECTION} SELECT 'old' AS version, lang, id, docid_col, fulltext_col FROM loaded
+      UNION ALL SELECT 'new', lang, id, docid_col, fulltext_col || CASE WHEN lang = 'de' THEN '' ELSE ' (new)' END FROM loaded""",
     "write_fvecs": """SELECT CAST(vec_id AS VARCHAR) AS docid, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2,
       len(embedding) AS dim FROM embeddings""",
     "write_multivectors": f"""WITH {VECS}, {TOKENS} SELECT docid, CAST(count(*) AS BIGINT) AS n_tokens,

@@ -17,7 +17,7 @@ from gleaner.operators import ann, chunking, encode, evaluate, fulltext, fusion,
 from gleaner.operators import blockmax, phrases, pq, rerank, routing, vectorsearch
 from gleaner.operators.explain import explain_query
 from gleaner.operators.topk import rounded, top_k
-from gleaner.plans import load, maintenance
+from gleaner.plans import load, maintenance, versions
 from gleaner.plans.benchmark import run_benchmark
 from gleaner.plans.embed import generate_vectors
 from gleaner.plans.experiment import Collection, open_collection, run_experiment
@@ -253,6 +253,26 @@ def load_collection(spark, sf):
     )
 
 
+@query
+def replace_collection(spark, sf):
+    """Two loads of every language; the second of one fails, so its first stays. Old readers keep what they began with."""
+    root = fresh_dir(spark, "versions")
+    vectors = stored(positioned_vectors(spark, sf).select("pos", "vec"), "vectors")
+    docs = I.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    loads = {}
+    for lang in I.LANGS:
+        rows = positions.assign_positions(docs.where(F.col("lang") == lang), "doc_id")
+        loads[lang] = stored(rows.select("pos", F.col("doc_id").cast("string").alias("docid"), "text"), "rows")
+        versions.replace_collection(loads[lang], vectors, root, lang)
+    old = versions.snapshot(spark, root)
+    for lang, rows in loads.items():
+        new = rows.withColumn("text", F.concat("text", F.lit(" (new)")))
+        versions.replace_collection(new, vectors, root, lang, is_bad=(F.col("lang") == "de") & (F.col("id") % 7 == 3))
+    both = {"old": versions.read_snapshot(spark, root, old), "new": versions.read_snapshot(spark, root)}
+    parts = [df.select(F.lit(v).alias("version"), "lang", "id", "docid_col", "fulltext_col") for v, df in both.items()]
+    return reduce(DataFrame.union, parts)
+
+
 @query
 def write_fvecs(spark, sf):
     path = fresh_dir(spark, "fvecs")
