@@ -57,7 +57,7 @@ def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.archive_folder(pages)
-    records = warc.read_archives(warc.write_archives(pages, folder), folder)
+    records = warc.lookup(warc.write_archives(pages, folder), folder, pages)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,9 +1,11 @@
 """WARC archives with a two-level capture index.
 
 Pages are written as WARC/1.1 records, one gzip member each, in the order of their reversed-host
-URL keys. The index has a line per record, sorted by key and packed into compressed blocks; a
-sparse directory holds the first key of each block. A lookup searches the directory by
-bisection, opens the blocks that can hold its key and reads the byte ranges they name.
+URL keys. The index has a line per record, sorted by key and packed into compressed blocks of index files;
+a sparse directory at the end of each file holds the first and last key and the place of each block. A lookup
+searches the list of files and then a file's directory by bisection, reads the blocks that can hold its keys
+by range, bisects their lines and reads the byte ranges they name. It is a job over a table of URLs: block places
+are dealt to tasks anew, so one URL with many captures is read by many tasks.
 
 Tasks write archives under names of their own; only files named by the committed index belong
 to the collection, so a repeated or lost task leaves nothing that a reader sees.
@@ -31,9 +33,11 @@ from gleaner.sources.files import resolve
 
 ARCHIVE_BYTES = 1 << 30
 BLOCK_LINES = 1000
-MOST_BLOCKS = 1_000_000  # of a directory that is searched on the driver
+TASK_BYTES = 64 << 20  # of records that a task reads back
 DATE = "1970-01-01T00:00:00Z"  # pages carry no capture time
 ENTRY = "key string, page_id long, file string, offset long, length long"
+INDEX = "file string, first string, last string, blocks long, lines long, bytes long, directory long, length long"
+PLACE = "file string, offset long, length long, key string"  # of a block that can hold the key; all keys for null
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
 
@@ -93,7 +97,7 @@ def sha1_base32(payload: bytes) -> str:
 def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0
 ) -> DataFrame:
-    """Write all pages to WARC files in ``folder``; the index blocks ``(first, n, block)``, written.
+    """Write all pages to WARC files in ``folder``; the written list of index files.
 
     Of records with equal payloads of at least ``least_bytes`` the one with the smallest id is a response, the others revisit
     it; null html is an empty payload. A page without an id is a revisit if an equal payload has one, else a response. Rows
@@ -130,37 +134,50 @@ def write_archives(
                 out.write(member)
                 lines.append((key, page, name, at, len(member)))
                 at += len(member)
-            yield _entries(lines)
+            yield _batch(lines, ENTRY)
         if out is not None:
             out.close()
 
     lines = stored(rows.mapInArrow(write, ENTRY), "warc-lines")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
+        filesystem, target = resolve(folder)
+        name, out, held, directory, at, size = f"index-{uuid.uuid4().hex}.blocks", None, [], [], 0, 0
+
+        def close_block(lines: list[list]) -> int:
+            data = zlib.compress("\n".join(json.dumps(line) for line in lines).encode())
+            out.write(data)
+            directory.append([lines[0][0], lines[-1][0], at, len(data), len(lines)])
+            return at + len(data)
+
         for batch in batches:
-            held += [list(row.values()) for row in batch.to_pylist()]
+            rows = [list(row.values()) for row in batch.to_pylist()]
+            if rows and out is None:
+                out = filesystem.open_output_stream(posixpath.join(target, name), compression=None)
+            held += rows
+            size += sum(row[4] for row in rows)
             while len(held) >= BLOCK_LINES:
-                yield _block(held[:BLOCK_LINES])
+                at = close_block(held[:BLOCK_LINES])
                 held = held[BLOCK_LINES:]
+        if out is None:
+            return
         if held:
-            yield _block(held)
+            at = close_block(held)
+        data = zlib.compress(json.dumps(directory).encode())
+        out.write(data)
+        out.close()
+        row = (name, directory[0][0], directory[-1][1], len(directory), sum(d[4] for d in directory), size, at, len(data))
+        yield _batch([row], INDEX)
 
     ordered = lines.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return stored(ordered.mapInArrow(pack, "first string, n long, block binary"), "warc-index")
-
+    return stored(ordered.mapInArrow(pack, INDEX), "warc-index")
 
-def _entries(lines: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-    columns = list(zip(*lines)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "page_id", "file", "offset", "length"])
 
-
-def _block(lines: list[list]) -> pa.RecordBatch:
-    data = zlib.compress("\n".join(json.dumps(line) for line in lines).encode())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lines[0][0]]), pa.array([len(lines)], pa.int64()), pa.array([data], pa.binary())], ["first", "n", "block"]
-    )
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
 def _read(filesystem, target: str, lines: list[list]) -> Iterator[dict]:
@@ -181,48 +198,92 @@ def _rows(records: Iterator[dict]) -> pa.RecordBatch:
             raise ValueError("a payload has not the digest or length its record says")
         page, refers = r["x-page-id"], r.get("x-refers-to-page-id")
         out.append((int(page) if page else None, r["warc-target-uri"], r["warc-type"], int(refers) if revisit else None, None if revisit else r["payload"], size, digest))
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
-    names = [f.split()[0] for f in RECORD.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names)
+    return _batch(out, RECORD)
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """All records the index names, one row each; payloads are checked against their digests."""
+def _range(filesystem, target: str, name: str, offset: int, length: int) -> bytes:
+    with filesystem.open_input_file(posixpath.join(target, name)) as handle:
+        return handle.read_at(length, offset)
+
+
+def _directory(filesystem, target: str, name: str, offset: int, length: int) -> list[list]:
+    """Entries ``[first, last, offset, length, lines]`` of an index file."""
+    return json.loads(zlib.decompress(_range(filesystem, target, name, offset, length)))
+
+
+def _records(places: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Records of the given block places; of a place with a key, those of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, target = resolve(folder)
+        opened, lines, have = None, [], []
         for batch in batches:
-            for block in batch.column(0):
-                lines = [json.loads(x) for x in zlib.decompress(block.as_py()).decode().split("\n")]
-                for at in range(0, len(lines), 100):
-                    yield _rows(_read(filesystem, target, lines[at : at + 100]))
-
-    return index.select("block").mapInArrow(run, RECORD)
-
-
-def lookup(index: DataFrame, folder: str, urls: list[str]) -> DataFrame:
-    """Records of the given URLs, through the directory: only blocks that can hold a key are opened."""
-    spark = index.sparkSession
-    if index.count() > MOST_BLOCKS:
-        raise ValueError("write the index with more lines a block")
-    directory = [r.first for r in index.select("first").orderBy("first").collect()]
-    keys = [r.key for r in spark.createDataFrame([(u,) for u in urls], "url string").select(surt("url").alias("key")).collect()]
-    wanted = set()
-    for key in keys:
-        low, high = bisect.bisect_left(directory, key), bisect.bisect_right(directory, key)
-        wanted.update(directory[max(0, low - 1) : high])
-    asked = sorted(set(keys))
+            found = []
+            for name, offset, length, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if (name, offset) != opened:
+                    raw = zlib.decompress(_range(filesystem, target, name, offset, length)).decode()
+                    opened, lines = (name, offset), [json.loads(x) for x in raw.split("\n")]
+                    have = [line[0] for line in lines]
+                low, high = (0, len(lines)) if key is None else (bisect.bisect_left(have, key), bisect.bisect_right(have, key))
+                found += lines[low:high]
+                while len(found) >= 100:
+                    yield _rows(_read(filesystem, target, found[:100]))
+                    found = found[100:]
+            yield _rows(_read(filesystem, target, found))
+
+    # The number is fixed: places are small, but each stands for up to a block of records.
+    dealt = places.repartitionByRange(tasks, "file", "offset", "key").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(run, RECORD)
+
+
+def _tasks(index: DataFrame) -> int:
+    size = index.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return max(2 * index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def read_archives(index: DataFrame, folder: str) -> DataFrame:
+    """All records the index names, one row each; payloads are checked against their digests.
+
+    An empty index gives no rows. Revisits have a null payload; records that repeat id and payload are rows of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, target = resolve(folder)
         for batch in batches:
-            for block in batch.column(0):
-                lines = [json.loads(x) for x in zlib.decompress(block.as_py()).decode().split("\n")]
-                have = [line[0] for line in lines]
-                found = [line for k in asked for line in lines[bisect.bisect_left(have, k) : bisect.bisect_right(have, k)]]
-                yield _rows(_read(filesystem, target, found))
+            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _batch([(name, at, n, None) for _, _, at, n, _ in _directory(filesystem, target, name, offset, length)], PLACE)
+
+    places = stored(index.select("file", "directory", "length").mapInArrow(run, PLACE), "warc-places")
+    return _records(places, folder, _tasks(index))
+
 
-    return index.where(F.col("first").isin(sorted(wanted))).select("block").mapInArrow(run, RECORD)
+def lookup(index: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """The records whose key is that of one of ``urls``, through the directories: only blocks that can hold a key are opened.
+
+    A URL asked for twice, or two of one key, give each record once; a null URL asks for pages without one.
+    URLs that no page has, an empty table or an empty index give no rows. Other columns of ``urls`` are not read.
+    """
+    # A row per index file, of which a shuffle partition wrote one; their number doesn't grow with the pages.
+    files = sorted(tuple(r) for r in index.select("first", "last", "file", "directory", "length").collect())
+    keys = urls.select(surt(f"`{url_col}`").alias("key")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, target = resolve(folder)
+        firsts, lasts = [f[0] for f in files], [f[1] for f in files]
+        opened, entries, starts, ends = None, [], [], []
+        for batch in batches:
+            out = []
+            for key in sorted(batch.column(0).to_pylist()):
+                for _, _, name, offset, length in files[bisect.bisect_left(lasts, key) : bisect.bisect_right(firsts, key)]:
+                    if name != opened:
+                        opened, entries = name, _directory(filesystem, target, name, offset, length)
+                        starts, ends = [e[0] for e in entries], [e[1] for e in entries]
+                    hits = entries[bisect.bisect_left(ends, key) : bisect.bisect_right(starts, key)]
+                    out += [(name, at, n, key) for _, _, at, n, _ in hits]
+            yield _batch(out, PLACE)
+
+    places = stored(keys.mapInArrow(run, PLACE), "warc-places")
+    return _records(places, folder, _tasks(index))
 
 
 def archive_folder(pages: DataFrame) -> str:

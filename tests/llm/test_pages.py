@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import topk, urlfilter, warc
 from tests.conftest import rows
@@ -62,19 +63,35 @@ def test_archives_give_back_every_page(spark, pages):
         want.append((page, len(raw), digest, "response" if refers is None else "revisit", refers, raw if refers is None else None))
     mine = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload) if r.payload else (b"" if r.payload is not None else None)) for r in got]
     assert sorted(mine, key=repr) == sorted(want, key=repr)
+    through = warc.lookup(index, folder, pages)  # every page by its URL
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, through.collect())) == sorted(map(key, got))
     none = warc.write_archives(pages.limit(0), folder)
+    assert warc.lookup(none, folder, pages).count() == 0 and warc.lookup(index, folder, pages.limit(0)).count() == 0
     assert none.count() == 0 and warc.read_archives(none, folder).count() == 0
 
 
 def test_lookup_reads_single_records(spark, pages):
+    asked = lambda *urls: spark.createDataFrame([(u, 1) for u in urls], "url string, key int")
     folder = warc.archive_folder(pages)
-    old, warc.BLOCK_LINES = warc.BLOCK_LINES, 2
-    try:
-        index = warc.write_archives(pages, folder)
-        found = warc.lookup(index, folder, ["http://h1.example.org/p1?q=1", "http://nobody.example/"])
-        assert [(r.page_id, r.url) for r in found.collect()] == [(9, "http://h1.example.org/p1?q=1#f")]
-    finally:
-        warc.BLOCK_LINES = old
+    index = warc.write_archives(pages, folder)
+    found = warc.lookup(index, folder, asked("http://h1.example.org/p1?q=1", "http://nobody.example/", "http://h1.example.org/p1?q=1"))
+    assert [(r.page_id, r.url) for r in found.collect()] == [(9, "http://h1.example.org/p1?q=1#f")]
+    assert [r.page_id for r in warc.lookup(index, folder, asked(None)).collect()] == [None]
+
+
+def test_captures_of_one_url_span_blocks_and_tasks(spark):
+    hot = [(i, "http://hot.example/x", f"<p>{i}</p>") for i in range(2500)]
+    rest = [(9000 + i, f"http://h{i}.example/", "long " * 50_000 if i == 7 else "rest") for i in range(600)]
+    pages = spark.createDataFrame(hot + rest, "page_id long, url string, html string").repartition(8)
+    folder = warc.archive_folder(pages)
+    index = warc.write_archives(pages, folder)
+    assert index.selectExpr("sum(lines)", "sum(blocks) >= 4").first() == (3100, True)
+    found = warc.lookup(index, folder, spark.createDataFrame([("http://hot.example/x#top",), ("http://h7.example/",)], "url string"))
+    assert sorted(r.page_id for r in found.select("page_id").collect()) == [*range(2500), 9007]
+    assert found.select("page_id").groupBy(F.spark_partition_id()).count().count() > 1  # not one task for the key
+    every = warc.lookup(index, folder, pages)
+    assert sorted(r.page_id for r in every.select("page_id").collect()) == sorted(p for p, _, _ in hot + rest)
 
 
 def test_top_k_equals_brute_force(spark):
