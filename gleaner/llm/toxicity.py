@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read as symbols: insult, threat, target, negation, reporting, quote,
-other. Five small transducers read the same symbols: one notes insults, one
+Words are read as symbols: insult, threat, target, negation, reporting, quote, joining word,
+comma, other. Five small transducers read the same symbols: one notes insults, one
 threats, one whether a target is near, one whether a negation governs the word and one
 whether the words are somebody else's. Their composition is a single machine whose
 output names what a clause does: a plain, targeted, negated or reported insult or threat.
@@ -31,20 +31,21 @@ INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pa
 INSULTS += "dummkopf abschaum trottel versager imbécile crétin ordure idiota imbécil basura escoria".split()
 THREATS = "kill destroy hurt beat burn punish crush töten vernichten tuer détruire matar destruir".split()
 TARGETS = "you your yours he she they them him her people everyone du ihr dich euch sie tu vous toi ils te usted ellos".split()
-NEGATIONS = "not no never isn't aren't don't wasn't without nicht kein keine nie pas jamais ne nunca ningún".split()
+NEGATIONS = "not no never isn't aren't don't wasn't without can't cannot won't doesn't didn't couldn't shouldn't wouldn't weren't hasn't haven't hadn't nicht kein keine nie pas jamais ne nunca ningún".split()
 REPORTS = "said says wrote writes called calls claimed quoted reported sagte schrieb behauptete écrit déclaré dijo escribió".split()
+JOINS = "and but yet und aber et mais y pero".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
-SYMBOLS = 7
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, JOIN, COMMA = range(9)
+SYMBOLS = 9
 KINDS = ("plain", "targeted", "negated", "reported")
 TAGS = [f"{kind}_{what}" for what in ("insult", "threat") for kind in KINDS]
 #: Bias, then one weight per tag, in natural logarithms of odds.
 PRIOR = np.array([-3.0, 4.0, 5.0, 1.0, 1.0, 0.5, 2.5, 0.2, 0.2])
 NEAR = 4  # words over which a target is near
-SCOPE = 3  # words that a negation governs
+SCOPE = 5  # words that a negation governs, up to a comma or joining word
 
-WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]")
-CLAUSE = re.compile(r"[^.!?;:\n]+")
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„,]")
+CLAUSE = re.compile(r"[^.!?;\n]+")  # not cut at a colon: what follows "she wrote:" is reported
 
 
 @dataclass
@@ -59,9 +60,10 @@ class Transducer:
         return cls(states, {(s, a): step(s, a) for s in range(states) for a in range(SYMBOLS)})
 
 
-def fading(trigger: int, length: int) -> Transducer:
-    """Outputs whether ``trigger`` was read within the last ``length`` words."""
-    return Transducer.of(length + 1, lambda s, a: (length if a == trigger else max(s - 1, 0), s > 0))
+def fading(trigger: int, length: int, stops: tuple[int, ...] = ()) -> Transducer:
+    """Outputs whether ``trigger`` was read within the last ``length`` words and no symbol of ``stops`` since; commas are no words."""
+    left = lambda s, a: length if a == trigger else 0 if a in stops else s if a == COMMA else max(s - 1, 0)
+    return Transducer.of(length + 1, lambda s, a: (left(s, a), s > 0))
 
 
 def noting(symbol: int) -> Transducer:
@@ -69,8 +71,16 @@ def noting(symbol: int) -> Transducer:
 
 
 def reporting() -> Transducer:
-    """Outputs whether the word is reported: after a reporting verb, or between quotes."""
-    return Transducer.of(2, lambda s, a: ((1 - s, False) if a == QUOTE else (1, False) if a == REPORT else (s, s == 1)))
+    """Outputs whether the word is somebody else's: between quotes, or in what a reporting verb governs.
+
+    States: own words, words after a reporting verb, an open quote, and a joining word among the words after a verb. A
+    quote opens after a verb as anywhere, and with its end the report ends. A joining word with a target behind it begins a clause of its own.
+    """
+    own, verb, quote, joined = range(4)
+    after = {own: {REPORT: verb, QUOTE: quote}, quote: {QUOTE: own}}
+    after[verb] = {s: verb for s in range(SYMBOLS)} | {QUOTE: quote, JOIN: joined}
+    after[joined] = after[verb] | {TARGET: own}
+    return Transducer.of(4, lambda s, a: (after[s].get(a, s), s != own))
 
 
 def compose(machines: list[Transducer], output) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +114,7 @@ def _tag(outputs: list[bool]) -> int:
 
 
 NEXT, OUT = (t.tolist() for t in compose(
-    [noting(INSULT), noting(THREAT), fading(TARGET, NEAR), fading(NEGATION, SCOPE), reporting()], _tag
+    [noting(INSULT), noting(THREAT), fading(TARGET, NEAR), fading(NEGATION, SCOPE, (JOIN, COMMA)), reporting()], _tag
 ))
 
 
@@ -112,7 +122,7 @@ class Grammar:
     """The composed machine with a lexicon; reads a text, yields tag counts."""
 
     def __init__(self, stems: list[str]):
-        self.symbols = dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET)
+        self.symbols = dict.fromkeys(JOINS, JOIN) | {",": COMMA} | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET)
         self.symbols |= dict.fromkeys(THREATS, THREAT) | dict.fromkeys(INSULTS, INSULT)
         whole = "|".join(map(re.escape, sorted(INSULTS + THREATS)))
         begin = "|".join(map(re.escape, sorted(stems)))
@@ -128,12 +138,12 @@ class Grammar:
     def tags(self, text: str) -> list[int]:
         """Number of clauses per tag; a clause counts once for each tag in it."""
         counts = [0] * len(TAGS)
-        text = text.lower()
+        text = text.lower().replace("’", "'")
         end = 0
         for match in self.find.finditer(text):
             if match.start() < end:
                 continue  # in a clause already read
-            start = max(text.rfind(c, 0, match.start()) for c in ".!?;:\n") + 1
+            start = max(text.rfind(c, 0, match.start()) for c in ".!?;\n") + 1
             clause = CLAUSE.match(text, start)
             end = clause.end()
             found, state = set(), 0
@@ -240,7 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``(id_col, held_out, score, predicted, tags)`` of every row; ``tags`` counts the clauses of each kind.
 
-    Null and empty texts have no clauses and get the score of such texts. Repeated rows and null ids stay.
+    Null and empty texts have no clauses and get the score of such texts. Repeated rows and null ids stay, equal texts score alike, an empty table gives no rows, and other columns are not
+    returned. A text is read whole, clause by clause, however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +268,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, unchanged."""
+    """The rows of ``docs`` that score below ``threshold``, unchanged, whatever their other columns are called.
+
+    Null and empty texts score like texts without clauses; repeated rows stay or go together; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.stems)

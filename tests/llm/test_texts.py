@@ -103,6 +103,57 @@ def test_grammar_scores_clauses():
     assert tags("ein grobian kommt") == {"plain_insult": 1} and tags("idiotic skills") == {} and tags("") == {}
 
 
+@pytest.mark.parametrize(("text", "tag"), [
+    ('He said "you are an idiot".', "reported_insult"),
+    ("He said you are an idiot.", "reported_insult"),
+    ("She wrote: you are an idiot.", "reported_insult"),
+    ("He said nothing and you are an idiot", "targeted_insult"),
+    ('"Fine," he wrote, "you are an idiot"', "reported_insult"),
+    ('he called it "fine" but you are an idiot', "targeted_insult"),
+    ("he said you are a liar and an idiot", "reported_insult"),
+    ("you don’t look like an idiot", "negated_insult"),
+    ("you can't be an idiot", "negated_insult"),
+    ("no, you are an idiot", "targeted_insult"),
+    ("this is not fine and you are an idiot", "targeted_insult"),
+    ("note: you are an idiot", "targeted_insult"),
+])
+def test_grammar_of_reports_and_negations(text, tag):
+    assert toxicity.Grammar([]).tags(text)[toxicity.TAGS.index(tag)] == 1 == sum(toxicity.Grammar([]).tags(text))
+
+
+def scanned(words):
+    """Tag of each insult or threat, looked up from the words before it."""
+    T, found = toxicity, []
+    for i, w in enumerate(words):
+        if w not in (T.INSULT, T.THREAT):
+            continue
+        before = words[:i]
+        quotes = [j for j, x in enumerate(before) if x == T.QUOTE]
+        inside = len(quotes) % 2 == 1
+        since = before[quotes[-1] + 1 :] if quotes else before
+        verbs = [j for j, x in enumerate(since) if x == T.REPORT]
+        ended = verbs and any((x, y) == (T.JOIN, T.TARGET) for x, y in zip(since[verbs[-1] :], since[verbs[-1] + 1 :]))
+        near = [x for x in before if x != T.COMMA][-T.NEAR :]
+        cut = max((j for j, x in enumerate(before) if x in (T.JOIN, T.COMMA)), default=-1)
+        kind = 3 if inside or (verbs and not ended) else 2 if T.NEGATION in before[cut + 1 :][-T.SCOPE :] else 1 if T.TARGET in near else 0
+        found.append(kind + (0 if w == T.INSULT else len(T.KINDS)))
+    return found
+
+
+def test_grammar_equals_a_scan_of_the_words():
+    rnd, seen = random.Random(4), set()
+    for _ in range(3000):
+        symbols = rnd.choices(range(toxicity.SYMBOLS), weights=[8, 3, 2, 2, 1, 1, 1, 2, 1], k=rnd.randrange(25))
+        state, got = 0, []
+        for symbol in symbols:
+            got.append(toxicity.OUT[state][symbol])
+            state = toxicity.NEXT[state][symbol]
+        want = scanned(symbols)
+        assert [t for t in got if t >= 0] == want
+        seen |= set(want)
+    assert len(seen) == len(toxicity.TAGS)
+
+
 def test_composition_runs_its_parts_side_by_side():
     parts = [toxicity.noting(toxicity.INSULT), toxicity.fading(toxicity.TARGET, 2), toxicity.reporting()]
     table, out = toxicity.compose(parts, lambda o: o)
