@@ -262,6 +262,7 @@ ORACLE: dict[str, str] = {
       e.embedding[1]::DOUBLE AS first_value FROM q JOIN evecs e USING (pos)""",
     "postings_join": f"WITH {_bm25(1)} SELECT qid, term, docid, tf, dl, df, n, round(avgdl, 6) AS avgdl FROM pj",
     "knn_join": f"WITH {VECS}, {QUERIES}, {_dense(10)} SELECT qid, docid, score AS distance, rank FROM dense",
+    "knn_join_pruned": f"WITH {VECS}, {QUERIES}, {_dense(10)} SELECT qid, docid, score AS distance, rank FROM dense",
     "fuse_join": f"""WITH {_bm25(100)}, {VECS}, {_dense(100)} SELECT coalesce(b.qid, d.qid) AS qid, coalesce(b.docid, d.docid) AS docid,
       coalesce(b.score, 0.0) AS left_score, round(coalesce(1 / (1 + d.score), 0.0), 6) AS right_score
       FROM bm25 b FULL JOIN dense d ON b.qid = d.qid AND b.docid = d.docid""",

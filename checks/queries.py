@@ -14,7 +14,7 @@ from gleaner.functions import text as T
 from gleaner.functions import vectors as V
 from gleaner.functions.encoders import HashingEncoder, HashingTokenEncoder
 from gleaner.operators import ann, chunking, encode, evaluate, fulltext, fusion, hits, positions
-from gleaner.operators import blockmax, phrases, pq, rerank, routing, vectorsearch
+from gleaner.operators import blockmax, phrases, pq, radii, rerank, routing, vectorsearch
 from gleaner.operators.explain import explain_query
 from gleaner.operators.topk import rounded, top_k
 from gleaner.plans import load, maintenance, versions
@@ -509,6 +509,12 @@ def knn_join(spark, sf):
     return vectorsearch.knn_join(I.query_vectors(spark, sf), I.vectors(spark, sf), 10)
 
 
+@query
+def knn_join_pruned(spark, sf):
+    index = radii.build_ball_index(I.vectors(spark, sf))
+    return radii.pruned_knn_join(I.query_vectors(spark, sf), index, 10)
+
+
 def legs(spark, sf, k: int = K_EVAL) -> list[DataFrame]:
     dense = vectorsearch.dense_search(I.query_vectors(spark, sf), I.vectors(spark, sf), k)
     return [bm25_run(spark, sf, k), fusion.similarity_run(dense)]

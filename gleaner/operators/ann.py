@@ -41,10 +41,11 @@ def kmeans_centroids(
 
     The model holds ``n_cells`` centroids, a number the caller bounds. It learns from some
     ``train_per_cell`` vectors a cell, those with a small hash of their id (from all, if there are no more); a
-    smaller ``train_fraction`` takes that share of them. Every vector is indexed.
+    smaller ``train_fraction`` takes that share of them. Null and empty vectors teach nothing. Every vector is indexed.
     """
     if not 0 < n_cells <= MAX_CELLS:
         raise ValueError(f"n_cells must be between 1 and {MAX_CELLS}")
+    vectors = vectors.where(F.size("vec") > 0)
     share = min(1.0, n_cells * train_per_cell / max(1, vectors.count())) * min(1.0, train_fraction)
     chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("docid")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     trained = vectors if share >= 1.0 else vectors.where(chosen)
