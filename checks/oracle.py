@@ -441,6 +441,7 @@ ORACLE: dict[str, str] = {
     "stream_search": f"WITH {_bm25(100)} SELECT qid, docid, score, rank, 'bm25' AS query_type FROM bm25",
     # encoders
     "encode_corpus": _encoded("documents", "doc_id"),
+    "encode_corpus_by_budget": _encoded("documents", "doc_id"),
     "generate_vectors": f"""WITH entries AS ({_encoded('documents', 'doc_id')}),
       norms AS (SELECT docid, sqrt(sum(val * val)) AS norm FROM entries GROUP BY docid), {POSITIONED}
       SELECT pos, dim, round(CAST(val / norm AS FLOAT)::DOUBLE, 4) AS val FROM entries JOIN norms USING (docid)

@@ -956,6 +956,12 @@ def encode_corpus(spark, sf):
     return long(vecs, "vec", "docid").where(F.col("val") != 0)
 
 
+@query
+def encode_corpus_by_budget(spark, sf):
+    vecs = encode.encode_corpus(I.corpus(spark, sf), "text", HashingEncoder, token_budget=16_384)
+    return long(vecs, "vec", "docid").where(F.col("val") != 0)
+
+
 @query
 def generate_vectors_(spark, sf):
     docs = document_positions(spark, sf).join(I.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,45 @@ from gleaner.functions.constants import ENCODE_BATCH_SIZE
 
 
 class Encoder(Protocol):
-    """Model with one method; rows of the result belong to the texts."""
+    """Model with one method; rows of the result belong to the texts.
+
+    A model may also have ``count_tokens(texts)``; without it a text has as many tokens as words.
+    """
 
     def encode(self, texts: list[str]): ...
 
 
+def _count_tokens(model: Encoder, texts: list[str]) -> np.ndarray:
+    own = getattr(model, "count_tokens", None)
+    return np.asarray(own(texts) if own else [len(t.split()) for t in texts], dtype=np.int64)
+
+
+def budget_batches(lengths: np.ndarray, token_budget: int, most: int) -> list[np.ndarray]:
+    """Row numbers of batches of texts of similar length, shortest first.
+
+    A batch padded to its longest text holds at most ``token_budget`` tokens, and at most ``most`` texts; a longer
+    text is a batch of its own. An empty text counts as one token.
+    """
+    if token_budget < 1 or most < 1:
+        raise ValueError("a batch holds at least one token and one text")
+    order = np.argsort(lengths, kind="stable")
+    batches, start = [], 0
+    for end in range(1, len(order) + 1):
+        longest = max(1, lengths[order[end]]) if end < len(order) else 0
+        if end == len(order) or end - start == most or (end + 1 - start) * longest > token_budget:
+            batches.append(order[start:end])
+            start = end
+    return batches
+
+
+def _batches(model: Encoder, texts: list[str], batch_size: int, token_budget: int | None) -> list[np.ndarray]:
+    if token_budget is None:
+        return [np.arange(i, min(i + batch_size, len(texts))) for i in range(0, len(texts), batch_size)]
+    return budget_batches(_count_tokens(model, texts), token_budget, batch_size)
+
+
 def _encode(
-    df: DataFrame, col: str, factory: Callable[[], Encoder], batch_size: int, out: str, kind: str
+    df: DataFrame, col: str, factory: Callable[[], Encoder], batch_size: int, out: str, kind: str, token_budget: int | None = None
 ) -> DataFrame:
     """``df`` without ``col``, with the encoded column; one model per task.
 
@@ -34,10 +67,11 @@ def _encode(
         for batch in batches:
             if model is None:
                 model = factory()
-            vectors = []
             texts = batch[col].fillna("").tolist()
-            for start in range(0, len(texts), batch_size):
-                vectors.extend(list(model.encode(texts[start : start + batch_size])))
+            vectors = [None] * len(texts)
+            for some in _batches(model, texts, batch_size, token_budget):
+                for row, vector in zip(some, model.encode([texts[i] for i in some])):
+                    vectors[row] = vector
             yield batch.drop(columns=[col]).assign(**{out: vectors})
 
     return df.mapInPandas(run, ddl)
@@ -49,9 +83,35 @@ def encode_corpus(
     encoder_factory: Callable[[], Encoder],
     batch_size: int = ENCODE_BATCH_SIZE,
     out: str = "vec",
+    token_budget: int | None = None,
 ) -> DataFrame:
-    """One dense vector per text."""
-    return _encode(df, col, encoder_factory, batch_size, out, "array<float>")
+    """One dense vector per text.
+
+    With ``token_budget``, the texts of an Arrow batch are encoded by length, in batches of at most
+    ``batch_size`` texts that hold at most so many tokens with their padding; rows keep their order.
+    """
+    return _encode(df, col, encoder_factory, batch_size, out, "array<float>", token_budget)
+
+
+def padding_report(
+    df: DataFrame, col: str, encoder_factory: Callable[[], Encoder], batch_size: int = ENCODE_BATCH_SIZE, token_budget: int | None = None
+) -> DataFrame:
+    """One row ``(batches, tokens, slots, padding)``: what encoding ``col`` pads its batches to, and the share of padding in it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for batch in batches:
+            model = model or encoder_factory()
+            texts = batch[col].fillna("").tolist()
+            lengths = _count_tokens(model, texts)
+            some = _batches(model, texts, batch_size, token_budget)
+            slots = sum(len(b) * int(lengths[b].max()) for b in some)
+            yield pd.DataFrame({"batches": [len(some)], "tokens": [int(lengths.sum())], "slots": [slots]})
+
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("batches", "tokens", "slots")]
+    made = df.select(col).mapInPandas(run, "batches bigint, tokens bigint, slots bigint").agg(*sums)
+    padding = F.coalesce(1 - F.col("tokens") / F.nullif(F.col("slots"), F.lit(0)), F.lit(0.0))
+    return made.withColumn("padding", padding)
 
 
 def encode_queries(
@@ -70,9 +130,10 @@ def encode_multivector(
     encoder_factory: Callable[[], Encoder],
     batch_size: int = ENCODE_BATCH_SIZE,
     out: str = "vecs",
+    token_budget: int | None = None,
 ) -> DataFrame:
-    """One list of token vectors per text."""
-    return _encode(df, col, encoder_factory, batch_size, out, "array<array<float>>")
+    """One list of token vectors per text; ``token_budget`` as in :func:`encode_corpus`."""
+    return _encode(df, col, encoder_factory, batch_size, out, "array<array<float>>", token_budget)
 
 
 def concat_chunk_vectors(chunks: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,6 +117,30 @@ def test_encoder_gets_batches_of_the_asked_size(spark):
     assert [r.vec for r in got] == [[3.0, 0.0], [3.0, 1.0], [3.0, 2.0], [3.0, 3.0], [3.0, 4.0], [3.0, 5.0], [1.0, 6.0]]
 
 
+@pytest.mark.parametrize("budget", [1, 7, 64, 1000])
+def test_budget_batches_hold_their_budget(budget):
+    lengths = np.random.default_rng(budget).integers(0, 40, 500)
+    made = encode.budget_batches(lengths, budget, 32)
+    assert sorted(np.concatenate(made).tolist()) == list(range(500))
+    for some in made:
+        assert len(some) <= 32 and (len(some) == 1 or len(some) * lengths[some].max() <= budget)
+    assert encode.budget_batches(lengths[:0], budget, 32) == []
+    with pytest.raises(ValueError):
+        encode.budget_batches(lengths, 0, 32)
+
+
+def test_budget_encoding_gives_the_same_vectors_with_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("docid"), "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a " * 50_000), (-3, "a " * 50_000)], docs.schema)).coalesce(2)
+    plain = encode.encode_corpus(docs, "text", HashingEncoder)
+    packed = encode.encode_corpus(docs, "text", HashingEncoder, token_budget=8192)
+    assert rows(packed, "docid", "vec") == rows(plain, "docid", "vec")
+    report = encode.padding_report(docs, "text", HashingEncoder, token_budget=8192).first()
+    naive = encode.padding_report(docs, "text", HashingEncoder).first()
+    assert report.tokens == naive.tokens and report.padding < 0.1 < naive.padding
+    assert encode.padding_report(docs.limit(0), "text", HashingEncoder, token_budget=10).first().padding == 0.0
+
+
 def test_hashing_encoder_is_additive():
     e = HashingEncoder(16)
     assert (e.encode(["a b"])[0] == e.encode(["a"])[0] + e.encode(["b"])[0]).all()
