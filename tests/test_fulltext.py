@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from gleaner.functions.constants import QUERY_RESERVED_CHARS
-from gleaner.operators import fulltext
+from gleaner.operators import fulltext, textblocks
 from gleaner.operators.explain import explain_query
 from gleaner.operators.topk import top_k
 from tests.conftest import rows
@@ -172,3 +172,34 @@ def test_only_counted_hot_keys_are_repeated(spark):
     assert joined.count() == 1000 and joined.columns == ["term", "docid", "df"]
     assert rows(joined.where("term = 'hot'").select("docid"), "docid") == rows(rows_.where("term = 'hot'"), "docid")
     assert {r.df for r in joined.collect()} == {1, 750}
+
+
+def test_many_queries_meet_blocks_of_documents(spark, monkeypatch):
+    """Several blocks of both, equal scores at the cut, repeated ids, languages."""
+    words = ["red", "fish", "blue", "sky", "the"]
+    texts = [("en" if i % 3 else "de", i % 70, " ".join(words[j] for j in range(5) if i >> j & 1)) for i in range(90)]
+    docs = spark.createDataFrame(texts, "lang string, docid long, text string")
+    asked = [(lang, f"q{i}", " ".join(words[i % 5 :])) for i in range(12) for lang in ("de", "en", "xx")]
+    queries = spark.createDataFrame([*asked, ("en", "none", None), ("en", "twice", "red"), ("en", "twice", "red sky")], "lang string, qid string, query string")
+    index = fulltext.build_fulltext_index(docs)
+    cols = ("lang", "qid", "docid", "score", "rank")
+    paired = rows(fulltext.bm25_search(queries, index, 7), *cols)
+    monkeypatch.setattr(fulltext, "PAIRED_QUERIES", 0)
+    monkeypatch.setattr(textblocks, "DOC_BLOCK_ROWS", 10)
+    monkeypatch.setattr(textblocks, "QUERY_BLOCK_ROWS", 5)
+    monkeypatch.setattr(textblocks, "HIT_ROWS", 3)
+    blocked = fulltext.bm25_search(queries, index, 7)
+    assert "FlatMapGroupsInArrow" in blocked._jdf.queryExecution().toString()
+    assert rows(blocked, *cols) == paired
+    alone = queries.where("lang = 'en'").drop("lang")
+    assert rows(fulltext.bm25_search(alone, fulltext.build_fulltext_index(docs.drop("lang")), 7, boost=2.0), *cols[1:])
+
+
+def test_partitions_grow_with_the_text(spark, docs, monkeypatch):
+    monkeypatch.setattr(fulltext, "TEXT_BYTES", 4)
+    assert fulltext.build_fulltext_index(docs, partitions=2).partitions == 13  # 49 bytes
+    saved = fulltext.save_fulltext_index(fulltext.build_fulltext_index(docs, partitions=2), "grown")
+    assert spark.sql("describe extended grown_postings").where("col_name = 'Num Buckets'").first().data_type == "13"
+    monkeypatch.setattr(fulltext, "TEXT_BYTES", 1 << 20)
+    assert fulltext.build_fulltext_index(docs, partitions=2).partitions == 2
+    assert saved.postings.count() == 7
