@@ -66,10 +66,12 @@ def read_corpus(spark, sf):
 
 @query
 def read_gzip_corpus(spark, sf):
-    """All documents in one gzip file, read in ranges with the places of their lines."""
+    """All documents in gzip files of bounded size, read in ranges with the places of their lines."""
     path = f"{fresh_dir(spark, 'gzip')}/corpus.jsonl.gz"
-    docs = I.corpus(spark, sf).repartitionByRange(1, "docid").sortWithinPartitions("docid")
-    docs.write.option("compression", "gzip").json(path)  # one file, by one task, as such corpora are
+    docs = I.corpus(spark, sf)
+    files = fulltext.text_partitions(docs)  # a file is written, and gone through for its ranges, by one task
+    docs = docs.repartitionByRange(files, "docid").sortWithinPartitions("docid")
+    docs.write.option("compression", "gzip").json(path)
     rows = C.read_gzip_corpus(spark, path, "en", split_bytes=1 << 16)
     return rows.select("pos", "docid", "text", "lang")
 

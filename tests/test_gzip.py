@@ -96,3 +96,14 @@ def test_broken_files_are_reported(spark, tmp_path):
         assert docs.count() == 2000 and rows(docs.select("lang").distinct(), "lang") == [("en",)]
     with pytest.raises(Exception, match="ends inside"):
         C.read_gzip_corpus(spark, str(tmp_path / "corpus-de"), "de", split_bytes=20_000).count()
+
+
+def test_query_reads_files_of_bounded_size(spark, sf, monkeypatch):
+    from checks.compare import compare, views
+    from gleaner.operators import fulltext
+
+    seen, ranges = [], C.gzip_ranges
+    monkeypatch.setattr(fulltext, "TEXT_BYTES", 1 << 15)
+    monkeypatch.setattr(C, "gzip_ranges", lambda spark, paths, *rest: seen.append(len(C.data_files(*paths.values()))) or ranges(spark, paths, *rest))
+    assert compare(spark, views(sf), sf, "read_gzip_corpus") is None
+    assert seen and seen[0] > 1
