@@ -16,10 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.labelled import LEARN_ROWS, fit_logistic, held_out, learning_rows
+from gleaner.llm.labelled import fit_logistic, fit_logistic_rows, held_out, labelled_rows, summed
 from gleaner.llm.wordhash import BLANKS, cut_words, hash_words, text_slices
+from gleaner.plans.workspace import stored
 
-PAIRS = 100_000  # preference pairs drawn from the learning rows
+PAIRS = 100_000  # preference pairs at least
+GROUP_ROWS = 5_000  # rows of each label that are paired by one task
+BINS = 4_096  # of a step towards the quantile
 THRESHOLD = 0.3
 
 _KINDS = [b"\n", b" \t\r\x0b\x0c", bytes(range(0x30, 0x3A)), bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)), b".", b",", b"!", b"%", b"&", b"#", b"$", b"*", b"|", b"<>{}[]=\\/_~^@+", b";:?()'\"-", bytes(range(0x80, 0x100))]
@@ -99,20 +102,102 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Qual
     return QualityModel(mean, scale, weights, cut, 4.0 / spread if spread > 0 else 1.0, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", learn_rows: int = LEARN_ROWS) -> QualityModel:
-    """Fit on at most ``learn_rows`` labelled documents (see ``learning_rows``); their features reach the driver, not their texts."""
-    rows = learning_rows(docs, labels, label, id_col, text_col, learn_rows)
-    table = rows.mapInArrow(_read(lambda x: [pa.array(list(x))], ["x"]), "y int, x array<double>").toArrow()
-    y = table.column("y").to_numpy()
-    x = np.array(table.column("x").to_pylist()).reshape(-1, N_FEATURES)
-    order = np.lexsort((*x.T, y))  # the order in which tasks end doesn't matter
-    return fit(x[order], np.minimum(y[order], 1))
+def _pairs(rows: DataFrame, n_good: int, n_bad: int) -> DataFrame:
+    """Written ``(y, x)``: differences of rows of label 1 and 0, each row in one pair at least.
+
+    Rows are dealt into groups by their id. The rarer label's are repeated, so that a group holds as many of both.
+    """
+    few, many = sorted((n_good, n_bad))
+    rounds, groups, parts = max(2, -(-PAIRS // many)), max(1, few // GROUP_ROWS), max(1, many // max(few, GROUP_ROWS))
+    rare = F.col("y") == int(n_good < n_bad)
+    part = F.when(rare, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)).cast("int")))
+    dealt = rows.select("y", "x", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"), F.explode(part).alias("part"))
+
+    def pair(table: pa.Table) -> pa.Table:
+        y = table.column("y").to_numpy()
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+        rng = np.random.default_rng(7)
+        sides = [x[y == label] for label in (1, 0)]
+        won, lost = (side[np.lexsort(side.T)][rng.permutation(len(side))] for side in sides)  # whatever the order of rows
+        n = max(len(won), len(lost)) if len(won) and len(lost) else 0
+        i, turns = np.tile(np.arange(n), rounds), np.repeat(np.arange(rounds), n)
+        short = max(1, min(len(won), len(lost)))
+        # In each round the rarer ones move on.
+        moved = i + turns * max(1, short // rounds)
+        a, b = (i, moved) if len(won) >= len(lost) else (moved, i)
+        signs = np.where((i + turns) % 2, 1.0, -1.0)  # both orders, so that the loss has both outcomes
+        difference = (won[a % max(1, len(won))] - lost[b % max(1, len(lost))]) * signs[:, None] if n else np.zeros((0, x.shape[1]))
+        lists = pa.ListArray.from_arrays(np.arange(len(difference) + 1, dtype=np.int32) * x.shape[1], pa.array(difference.ravel()))
+        return pa.table([pa.array((signs > 0).astype(np.int32)), lists], ["y", "x"])
+
+    return stored(dealt.groupBy("group", "part").applyInArrow(pair, "y int, x array<double>"), "quality-pairs")
+
+
+def _quantile(rows: DataFrame, rank, low: float, high: float, before: int) -> float:
+    """The rank that ``before`` of the rows lie below: counted in bins, then in bins of the bin that holds it."""
+    for _ in range(6):
+        if not low < high:
+            break
+        edges = np.linspace(low, high, BINS + 1)
+
+        def count(x: np.ndarray, y: np.ndarray, edges: np.ndarray = edges) -> np.ndarray:
+            # The first number counts what lies below the edges.
+            return np.bincount(np.searchsorted(edges, rank(x), side="right"), minlength=BINS + 2).astype(float)
+
+        place = int(np.searchsorted(np.cumsum(summed(rows, count)), before, side="right"))
+        if not 0 < place <= BINS:
+            return float(high if place else low)
+        low, high = float(edges[place - 1]), float(edges[place])
+    return low
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", learn_rows: int | None = None) -> QualityModel:
+    """Fit on all labelled documents outside the held-out fold, or ``learn_rows`` of them; sums over their features reach the driver."""
+    known = labelled_rows(docs, labels, label, id_col, text_col, learn_rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x, batch.column(2)], ["id", "x", "y"])
+
+    kind = known.schema["id"].dataType.simpleString()
+    rows = known.mapInArrow(read, f"id {kind}, x array<double>, y int").withColumn("y", F.least("y", F.lit(1)))
+    rows = stored(rows, "quality-features")
+    total = summed(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(axis=0)]))
+    if total is None:
+        return fit(np.empty((0, N_FEATURES)), np.empty(0))
+    n, n_good, mean = int(total[0]), int(total[1]), total[2:] / total[0]
+    scale = np.sqrt(summed(rows, lambda x, y: ((x - mean) ** 2).sum(axis=0)) / n) + 1e-6
+    weights = np.zeros(N_FEATURES)
+    if 0 < n_good < n:
+        z = lambda x: ((x - mean) / scale).clip(-8, 8)
+        pairs = _pairs(_scaled(rows, z), n_good, n - n_good)
+        weights = fit_logistic_rows(pairs, weights, strength=pairs.count() / 1000)
+    model = QualityModel(mean, scale, weights, 0.0, 1.0, 0.0)
+    ranks = rows.mapInArrow(_ranked(model.rank), "y int, x array<double>")
+    ranks = stored(ranks, "quality-ranks")
+    ends = ranks.agg(F.min(F.get("x", F.lit(0))).alias("a"), F.max(F.get("x", F.lit(0))).alias("b")).first()
+    middle = float(summed(ranks, lambda x, y: x.sum(axis=0))[0]) / n
+    spread = float(np.sqrt(summed(ranks, lambda x, y: ((x - middle) ** 2).sum(axis=0))[0] / n))
+    model.cut = _quantile(ranks, lambda x: x[:, 0], ends.a, ends.b, min(n - n_good, n - 1))
+    model.slope = 4.0 / spread if spread > 0 else 1.0
+    return model
+
+
+def _scaled(rows: DataFrame, z) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = z(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "y"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
-def _read(make, names):
+def _ranked(rank):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), *make(features(batch.column(0)))], ["y", *names])
+            values = rank(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([[v] for v in values], pa.list_(pa.float64()))], ["y", "x"])
 
     return run
 

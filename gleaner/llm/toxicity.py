@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.labelled import LEARN_ROWS, fit_logistic, held_out, learning_rows
+from gleaner.llm.labelled import fit_logistic_rows, held_out, learning_rows
+from gleaner.plans.workspace import stored
 
 # Seed words of the grammar.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile bastard".split()
@@ -227,10 +228,10 @@ def _tag_counts(column: pa.Array, grammar: Grammar) -> np.ndarray:
     return np.array([grammar.tags(t.as_py() or "") for t in column], dtype=float).reshape(-1, len(TAGS))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", learn_rows: int = LEARN_ROWS) -> ToxicityModel:
-    """Stems and clause weights from at most ``learn_rows`` labelled documents (see ``learning_rows``).
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", learn_rows: int | None = None) -> ToxicityModel:
+    """Stems and clause weights from all labelled documents outside the held-out fold, or ``learn_rows`` of them.
 
-    Only tag counts of those rows and the stems reach the driver.
+    Only the stems and sums over the tag counts reach the driver.
     """
     rows = learning_rows(docs, labels, label, id_col, text_col, learn_rows)
     stems = learn_stems(rows)
@@ -238,13 +239,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = _tag_counts(batch.column(0), grammar)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in counts.T)], ["y", *TAGS])
+            x = _features(_tag_counts(batch.column(0), grammar))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    table = rows.mapInArrow(read, "y int, " + ", ".join(f"{t} double" for t in TAGS)).toArrow()
-    y = np.minimum(table.column("y").to_numpy(), 1).astype(float)
-    counts = np.stack([table.column(t).to_numpy() for t in TAGS], axis=1)
-    return ToxicityModel(stems, fit_logistic(_features(counts), y, PRIOR, strength=1.0) if len(y) else PRIOR)
+    counts = rows.mapInArrow(read, "y int, x array<double>").withColumn("y", F.least("y", F.lit(1)))
+    return ToxicityModel(stems, fit_logistic_rows(stored(counts, "toxicity-counts"), PRIOR, strength=1.0))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +212,28 @@ def test_learning_rows_leave_the_held_out_fold(spark, labelled_docs):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in flags)
 
 
+def test_quality_learns_from_every_row(spark, monkeypatch):
+    """Labels beyond any fixed number of rows decide, whether rows are paired in one group or in several."""
+    ids = [i for i in range(60_000) if zlib.crc32(str(i).encode()) % 5][:40_000]
+    texts = ["plain words of a text", "{x} 123 456 ## $$"]
+    rows = [(i, texts[n % 2], int(n % 2 == 0) if n % 8 else 1) for n, i in enumerate(ids)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.learn(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    x = np.stack([quality.features(pa.array([r[1]]))[0] for r in rows[:8]] * 5000)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+    monkeypatch.setattr(quality, "GROUP_ROWS", 700)
+    parts = quality.learn(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert np.allclose(parts.weights, model.weights, atol=0.05) and parts.rank(x)[0] > parts.rank(x)[1]
+
+
+def test_quantiles_are_exact(spark):
+    values = np.random.default_rng(3).normal(size=5_001)
+    ranks = spark.createDataFrame([(0, [float(v)]) for v in values], "y int, x array<double>")
+    for before in (0, 1, 2_500, 5_000):
+        got = quality._quantile(ranks, lambda x: x[:, 0], values.min(), values.max(), before)
+        assert abs(got - np.sort(values)[before]) < 1e-12
+
+
 def test_bpe_equals_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
