@@ -46,17 +46,21 @@ def build_block_index(
     index: FullTextIndex, range_docs: int = RANGE_DOCS, k1: float = BM25_K1, b: float = BM25_B
 ) -> BlockIndex:
     """Ranges and largest weights of an index. Postings stay where they are: a document's range follows from its length and id."""
+    stats = stored(index.corpus_stats, "collections")
     band = F.floor(F.log2(F.col("dl").cast("double")) * BANDS).cast("int").alias("band")
     sizes = index.doc_lengths.select("lang", band).groupBy("lang", "band").agg(F.count(F.lit(1)).alias("n_docs"))
     sizes = broadcast_if_small(sizes.withColumn("n_ranges", F.ceil(F.col("n_docs") / F.lit(range_docs))).drop("n_docs"))
     rows = index.postings.withColumn("band", band).join(sizes, ["lang", "band"])
-    rows = rows.join(broadcast_if_small(index.corpus_stats.select("lang", "avgdl")), "lang")
+    rows = rows.join(broadcast_if_small(stats.select("lang", "avgdl")), "lang")
     # Numbers that fall together would only make one range of two.
     number = F.xxhash64("lang", "band", F.pmod(F.xxhash64("docid"), F.col("n_ranges")))
     rows = rows.select("lang", "term", "docid", _part(k1, b).alias("part"), number.alias("range"))
     rows = rows.withColumn("slab", F.pmod("range", F.lit(SLABS)).cast("int"))
-    maxima = rows.groupBy("lang", "term", "range", "slab").agg(F.max("part").alias("most"))
-    return BlockIndex(rows, maxima, index.doc_freqs, index.corpus_stats)
+    return BlockIndex(rows, _maxima(rows), index.doc_freqs, stats)
+
+
+def _maxima(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("lang", "term", "range", "slab").agg(F.max("part").alias("most"))
 
 
 def save_block_index(index: BlockIndex, path: str | None = None) -> BlockIndex:
@@ -65,9 +69,11 @@ def save_block_index(index: BlockIndex, path: str | None = None) -> BlockIndex:
     root = path or fresh_dir(spark, "blocks")
     dealt = index.postings.repartition("slab", F.pmod("range", F.lit(SLABS * SLABS)))
     dealt.sortWithinPartitions("slab", "range", "term").write.mode("overwrite").partitionBy("slab").parquet(f"{root}/postings")
-    maxima = index.maxima.repartitionByRange("lang", "term", "range").sortWithinPartitions("lang", "term")
+    # The other tables follow from the written postings; the texts of an index that isn't saved are not read again.
+    written = spark.read.parquet(f"{root}/postings")
+    maxima = _maxima(written).repartitionByRange("lang", "term", "range").sortWithinPartitions("lang", "term")
     maxima.write.mode("overwrite").parquet(f"{root}/maxima")
-    index.doc_freqs.write.mode("overwrite").parquet(f"{root}/doc_freqs")
+    written.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{root}/doc_freqs")
     index.corpus_stats.write.mode("overwrite").parquet(f"{root}/corpus_stats")
     return open_block_index(spark, root)
 

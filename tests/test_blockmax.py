@@ -56,3 +56,13 @@ def test_ties_languages_and_nothing(spark):
     got = blockmax.block_max_search(queries, blocks, 10)
     assert rows(got, "lang", *COLUMNS) == rows(fulltext.bm25_search(queries, index, 10), "lang", *COLUMNS)
     assert blockmax.block_max_search(queries.limit(0), blocks, 10).count() == 0
+
+
+def test_saving_reads_the_postings_once(spark, tmp_path):
+    from dataclasses import replace
+
+    docs = spark.createDataFrame([("a", "red fish"), ("b", "red sky")], "docid string, text string")
+    built = blockmax.build_block_index(fulltext.build_fulltext_index(docs))
+    saved = blockmax.save_block_index(replace(built, maxima=None, doc_freqs=None), str(tmp_path))
+    assert {(r.term, r.df) for r in saved.doc_freqs.collect()} == {("red", 2), ("fish", 1), ("sky", 1)}
+    assert rows(saved.maxima, *built.maxima.columns) == rows(built.maxima, *built.maxima.columns)
