@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.constants import BM25_B, BM25_K1, MAX_HITS
+from gleaner.operators.bounds import broadcast_if_small
 from gleaner.operators.fulltext import (
     FullTextIndex,
     bm25_search,
@@ -37,6 +40,11 @@ def explain_query(
     if qid is not None:
         queries = queries.where(F.col("qid") == qid)
     keys = [*query_keys(queries), "docid"]
+    # An index that isn't saved is derived from the texts by every read: what both searches need of it is written.
+    asked = query_terms(queries)
+    known = broadcast_if_small(asked.select("lang", "term").distinct())
+    doc_freqs = stored(index.doc_freqs.join(known, ["lang", "term"], "left_semi"), "query-freqs")
+    index = replace(index, doc_freqs=doc_freqs, corpus_stats=stored(index.corpus_stats, "collections"))
     # Runs hold k hits per query; written once, they serve the ranking and the parts.
     keyword = stored(bm25_search(queries, index, k, boost, k1, b), "keyword-run")
     hits = keyword
@@ -45,7 +53,7 @@ def explain_query(
         hits = merge_hybrid(keyword, dense, k)
     hits = hits.select(*keys, "rank")
     terms = (
-        postings_join(query_terms(queries), index)
+        postings_join(asked, index)
         .join(keyword, keys, "left_semi")
         .select(
             *keys,

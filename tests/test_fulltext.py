@@ -203,3 +203,9 @@ def test_partitions_grow_with_the_text(spark, docs, monkeypatch):
     monkeypatch.setattr(fulltext, "TEXT_BYTES", 1 << 20)
     assert fulltext.build_fulltext_index(docs, partitions=2).partitions == 2
     assert saved.postings.count() == 7
+
+
+def test_explaining_reads_the_texts_for_the_postings_only(spark, docs):
+    queries = spark.createDataFrame([("q1", "red fish"), ("q2", "sky")], "qid string, query string")
+    plan = explain_query(queries, fulltext.build_fulltext_index(docs), k=1)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("AS terms#") == 1  # not for frequencies and statistics as well
