@@ -257,6 +257,19 @@ def test_defaults_find_the_lines_that_are_similar_as_text(spark):
         assert sum(hits) >= (0.4 if "15" in way or n == 5 and "10 %" in way else 0.9) * len(hits), (n, way)
 
 
+def test_lines_that_meet_in_one_hot_word_pair_are_compared(spark):
+    rnd = random.Random(5)
+    made = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    words = [made(9) for _ in range(8)]
+    ends = ["international", "communication"]
+    line, other = " ".join(words + ends), " ".join([w[:4] + "0" + w[5:] for w in words] + ends)
+    # Only the last pair is in both lines, and many other lines of that size hold it.
+    others = [" ".join([made(9) for _ in range(8)] + ends) for _ in range(60)]
+    texts = [line, *others, other]
+    found = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in found.where("n_kept = 0").collect()} == {61}
+
+
 def test_short_lines_and_unspaced_scripts(spark):
     chinese = "今天的天气非常好我们一起去公园散步看花然后回家吃饭"
     thai = "กรงเทพมหานครอมรรตนโกสนทร"
