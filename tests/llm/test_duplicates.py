@@ -270,6 +270,58 @@ def test_lines_that_meet_in_one_hot_word_pair_are_compared(spark):
     assert {r.doc_id for r in found.where("n_kept = 0").collect()} == {61}
 
 
+def test_lines_are_candidates_where_an_alignment_can_keep_a_word_pair(spark, monkeypatch):
+    rnd = random.Random(12)
+    made = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pair, filler = ["international", "communication"], lambda n: [made(9) for _ in range(n)]
+    lines = [pair + filler(8), filler(8) + pair, filler(2) + pair + filler(4) + pair, pair + filler(8)]
+    seen = []
+    similar = linededup._similar
+    monkeypatch.setattr(linededup, "_similar", lambda texts, pairs, *a: seen.extend((r.u.id, r.v.id) for r in pairs.collect()) or similar(texts, pairs, *a))
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(lines)], "doc_id long, text string")
+    assert linededup.dedup_lines(docs).where("n_kept = 0").count() == 0
+    # At other ends of the lines no 0.2 of them can be edits; a pair that a line repeats meets anywhere.
+    assert sorted(seen) == [(0, 2), (0, 3), (1, 2), (2, 3)]
+
+
+def test_word_pairs_that_edits_leave_alone_stay_at_places_that_meet(spark):
+    rnd = random.Random(13)
+    made = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    lines = []
+    for n in (5, 9, 20, 60) * 10:
+        words = [made() for _ in range(n)]
+        text, at = " ".join(words), rnd.randrange(n - 1)
+        keep = f" {words[at]} {words[at + 1]} "
+        head, tail = f" {text} ".split(keep, 1)
+        edits = int(0.2 * len(text) + 1e-9)  # all of them before the pair, all after it, or on both sides
+        more = rnd.choice([0, edits // 2, edits])
+        other = (head[: max(0, len(head) - more)] + keep + tail + "x" * (edits - more)).strip()
+        lines.append((text.split(), other.split(), edits))
+    sample = linededup._word_pairs
+    frame = spark.createDataFrame(lines, "a array<string>, b array<string>, edits int")
+    for r in frame.select(sample("a").alias("a"), sample("b").alias("b"), "edits").collect():
+        places = {k.key: (k.at, k.too) for k in r.a}
+        met = [(places[k.key], (k.at, k.too)) for k in r.b if k.key in places]
+        assert all(None in (x, y) or abs(x - y) <= r.edits for p, q in met for x, y in zip(p, q))
+
+
+def test_lines_are_compared_whole_after_a_check_without_some_letters(spark):
+    rnd = random.Random(14)
+    made = lambda letters: "".join(rnd.choice(letters) for _ in range(9))
+    ends = ["international", "communication"]
+    words = [made("abcdefghijklm") + made("nopqrstuvwxyz") for _ in range(5)]
+    texts = [" ".join(words + ends)]
+    texts.append(" ".join([w[:9] + made("nopqrstuvwxyz") for w in words] + ends))  # alike but for letters that are left out
+    texts.append(" ".join([made("abcdefghijklm") + w[9:] for w in words] + ends))
+    texts.append(" ".join([w[:3] + "x" + w[4:-2] + "az" for w in words] + ends))  # 3 of 18 letters
+    texts.append("今天的天气非常好我们一起去公园散步看花然后回家吃饭")
+    texts.append(texts[-1].replace("公", "花"))
+    found = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    a = [normal(t) for t in texts]
+    want = {j for i, j in itertools.combinations(range(len(a)), 2) if edits(a[i], a[j]) <= 0.2 * max(len(a[i]), len(a[j]))}
+    assert {r.doc_id for r in found.where("n_kept = 0").collect()} == want == {3, 5}
+
+
 def test_short_lines_and_unspaced_scripts(spark):
     chinese = "今天的天气非常好我们一起去公园散步看花然后回家吃饭"
     thai = "กรงเทพมหานครอมรรตนโกสนทร"
