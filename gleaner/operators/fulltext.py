@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.functions.constants import BM25_B, BM25_K1, MAX_HITS, TOKEN_MAX_LEN, TOKEN_MIN_LEN
 from gleaner.operators.bounds import BROADCAST_ROWS, fits, local_rows, salted_join, small_table
-from gleaner.operators.textblocks import block_hits
+from gleaner.operators.textblocks import block_hits, segment_freqs, written_segments
 from gleaner.operators.topk import query_keys, rounded, top_k
 from gleaner.plans.workspace import fresh_dir, stored
 
@@ -50,6 +50,8 @@ class FullTextIndex:
     corpus_stats: DataFrame
     # Number of hash partitions by docid that `postings` is known to have.
     partitions: int | None = None
+    # What an index that isn't saved is made of: `(lang, docid, terms, dl)`, all tokens of a document in one partition.
+    bags: DataFrame | None = None
 
 
 def _with_lang(df: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def build_fulltext_index(
     )
     if "lang" not in docs.columns:
         corpus_stats = F.broadcast(corpus_stats)  # one collection, one row
-    return FullTextIndex(postings, doc_lengths, _doc_freqs(postings), corpus_stats, partitions)
+    return FullTextIndex(postings, doc_lengths, _doc_freqs(postings), corpus_stats, partitions, bags)
 
 
 def save_fulltext_index(
@@ -178,6 +180,8 @@ def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
 PUSHED_TERMS = 2_000
 # Queries of which a task may hold a row per document.
 PAIRED_QUERIES = 1_000
+# Languages that a pushed-down filter may list.
+MAX_LANGS = 100
 # Collections whose statistics may travel as a local table.
 MAX_COLLECTIONS = 10_000
 
@@ -233,6 +237,20 @@ def bm25_scores(
     )
 
 
+def _documents(index: FullTextIndex, weighted: DataFrame | None = None) -> DataFrame:
+    """``(lang, docid, bags)``: the words of every document, or of those in the languages of the written query terms. Nothing is moved."""
+    if index.bags is not None:
+        bags = index.bags.select("lang", "docid", "dl", F.array_join("terms", " ").alias("words"), F.lit(None).cast("array<int>").alias("tfs"))
+    else:
+        postings = index.postings
+        few = small_table(weighted.select("lang").distinct(), MAX_LANGS)
+        if few is not None:
+            postings = postings.where(F.col("lang").isin(few.column("lang").to_pylist()))
+        bags = postings.groupBy("lang", "docid", "dl").agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("e"))
+        bags = bags.select("lang", "docid", "dl", F.array_join("e.term", " ").alias("words"), F.col("e.tf").alias("tfs"))
+    return bags.groupBy("lang", "docid").agg(F.collect_list(F.struct("dl", "words", "tfs")).alias("bags"))
+
+
 def bm25_search(
     queries: DataFrame,
     index: FullTextIndex,
@@ -244,11 +262,19 @@ def bm25_search(
     """``(qid, docid, score, rank)`` of the ``k`` most relevant documents per query.
 
     Queries with a ``lang`` column are answered from the collection of that language.
-    A few queries keep a row per document of a partition; more of them meet blocks of documents.
+    A few queries keep a row per document of a partition; more of them meet written segments of the documents, in blocks.
     """
     terms = query_terms(queries)
     if fits(queries.select("qid"), PAIRED_QUERIES) and fits(terms.select("qid"), BROADCAST_ROWS):
         return top_k(bm25_scores(queries, index, boost, k1, b), k)
-    weighted = stored(weighted_terms(terms, index.doc_freqs, index.corpus_stats), "query-terms")
-    hits = block_hits(weighted, index.postings, k, boost, k1, b)
-    return top_k(hits.select(*query_keys(queries), "docid", rounded(F.col("score")).alias("score")), k)
+    if index.bags is None:
+        weighted = stored(weighted_terms(terms, index.doc_freqs, index.corpus_stats), "query-terms")
+        segments = written_segments(_documents(index, weighted))
+    else:
+        # The text is moved and cut once: statistics follow from the written segments.
+        segments = written_segments(_documents(index))
+        n = F.sum("n")
+        stats = segments.groupBy("lang").agg(n.alias("n"), (F.sum("total") / F.nullif(n, F.lit(0))).alias("avgdl")).where(F.col("n") > 0)
+        weighted = stored(weighted_terms(terms, segment_freqs(segments), stats), "query-terms")
+    hits = block_hits(weighted, segments, index.postings.schema["docid"], k, boost, k1, b)
+    return hits.select(*query_keys(queries), "docid", "score", "rank")

@@ -1,5 +1,7 @@
 import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,40 @@ def test_explaining_reads_the_texts_for_the_postings_only(spark, docs):
     queries = spark.createDataFrame([("q1", "red fish"), ("q2", "sky")], "qid string, query string")
     plan = explain_query(queries, fulltext.build_fulltext_index(docs), k=1)._jdf.queryExecution().analyzed().toString()
     assert plan.count("AS terms#") == 1  # not for frequencies and statistics as well
+
+
+def test_large_query_sets_leave_documents_where_they_are(spark, monkeypatch):
+    """Hits equal those of the paired way with thresholds, looked-up lists and ties; only the best of a few chains are moved."""
+    rnd = random.Random(5)
+    common, rare = [f"common{i}" for i in range(6)], [f"rare{i}" for i in range(150)]
+    texts = [(i, " ".join(rnd.choice(common if rnd.random() < 0.8 else rare) for _ in range(rnd.choice([5, 12, 40])))) for i in range(1500)]
+    texts += [(5000 + i, texts[i % 40][1]) for i in range(400)]  # equal scores
+    docs = spark.createDataFrame(texts, "docid long, text string")
+    queries = spark.createDataFrame([(f"q{i}", " ".join([*rnd.sample(common, 3), *rnd.sample(rare, i % 4)])) for i in range(60)], "qid string, query string")
+    built = fulltext.build_fulltext_index(docs)
+    cols = ("qid", "docid", "score", "rank")
+    paired = rows(fulltext.bm25_search(queries, built, 6), *cols)
+    monkeypatch.setattr(fulltext, "PAIRED_QUERIES", 0)
+    monkeypatch.setattr(textblocks, "DOC_BLOCK_ROWS", 60)
+    for index in (built, fulltext.save_fulltext_index(built, "large_query_sets")):
+        blocked = fulltext.bm25_search(queries, index, 6)
+        assert blocked._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # no postings or texts beside the written segments
+        assert rows(blocked, *cols) == paired
+        plan = blocked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hash") == 1 and "Exchange hashpartitioning(block" in plan
+
+
+BAGS = pa.list_(pa.struct([("dl", pa.int64()), ("words", pa.string()), ("tfs", pa.list_(pa.int32()))]))
+
+
+def test_a_chain_hands_on_k_hits_of_a_query_however_many_its_documents():
+    asked = pa.table({"lang": [""], "qid": ["q"], "words": ["red sky"], "idfs": [[1.0, 2.0]], "avgdl": [2.0]})
+    chain = textblocks._Chain(asked, 3, 1.0, 1.2, 0.75)
+    for start in range(0, 50, 10):
+        bags = textblocks._Bags()
+        ids = [f"d{i:02}" for i in range(start, start + 10)]
+        words = [[{"dl": 2, "words": "red sky" if i % 20 == 7 else "red fish", "tfs": None}] for i in range(start, start + 10)]
+        bags.add(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words, BAGS)], ["docid", "bags"]))
+        chain.meet("", [textblocks._arrays(bags.segment())])
+    [blob] = chain.hits(10)
+    assert sorted(textblocks._arrays(blob)["docid"].to_pylist()) == ["d07", "d27", "d47"]
