@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.functions.constants import BM25_B, BM25_K1, MAX_HITS, TOKEN_MAX_LEN, TOKEN_MIN_LEN
 from gleaner.operators.bounds import BROADCAST_ROWS, fits, local_rows, salted_join, small_table
-from gleaner.operators.textblocks import block_hits, segment_freqs, written_segments
+from gleaner.operators.textblocks import block_hits, segment_documents, segment_freqs, segment_stats, written_segments
 from gleaner.operators.topk import query_keys, rounded, top_k
 from gleaner.plans.workspace import fresh_dir, stored
 
@@ -246,11 +246,26 @@ def _documents(index: FullTextIndex, weighted: DataFrame | None = None) -> DataF
         few = small_table(weighted.select("lang").distinct(), MAX_LANGS)
         if few is not None:
             postings = postings.where(F.col("lang").isin(few.column("lang").to_pylist()))
-        bags = postings.groupBy("lang", "docid", "dl").agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("e"))
-        bags = bags.select("lang", "docid", "dl", F.array_join("e.term", " ").alias("words"), F.col("e.tf").alias("tfs"))
+        bags = _counted(postings)
     return bags.groupBy("lang", "docid").agg(F.collect_list(F.struct("dl", "words", "tfs")).alias("bags"))
 
 
+def documents_by_word(index: FullTextIndex) -> tuple[DataFrame, DataFrame]:
+    """``(lang, docid, dl, words, tfs)``: the distinct words of every document in one string; and the statistics.
+
+    For an index that isn't saved the text is moved and cut once; both follow from written segments.
+    """
+    if index.bags is not None:
+        segments = written_segments(_documents(index))
+        return segment_documents(segments, index.postings.schema["docid"]), segment_stats(segments)
+    return _counted(index.postings), index.corpus_stats
+
+
+def _counted(postings: DataFrame) -> DataFrame:
+    bags = postings.groupBy("lang", "docid", "dl").agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("e"))
+    return bags.select("lang", "docid", "dl", F.array_join("e.term", " ").alias("words"), F.col("e.tf").alias("tfs"))
+
+
 def bm25_search(
     queries: DataFrame,
     index: FullTextIndex,
@@ -273,8 +288,6 @@ def bm25_search(
     else:
         # The text is moved and cut once: statistics follow from the written segments.
         segments = written_segments(_documents(index))
-        n = F.sum("n")
-        stats = segments.groupBy("lang").agg(n.alias("n"), (F.sum("total") / F.nullif(n, F.lit(0))).alias("avgdl")).where(F.col("n") > 0)
-        weighted = stored(weighted_terms(terms, segment_freqs(segments), stats), "query-terms")
+        weighted = stored(weighted_terms(terms, segment_freqs(segments), segment_stats(segments)), "query-terms")
     hits = block_hits(weighted, segments, index.postings.schema["docid"], k, boost, k1, b)
     return hits.select(*query_keys(queries), "docid", "score", "rank")

@@ -165,6 +165,33 @@ def segment_freqs(segments: DataFrame) -> DataFrame:
     return each.groupBy("lang", "term").agg(F.sum("df").alias("df"))
 
 
+def segment_stats(segments: DataFrame) -> DataFrame:
+    """``(lang, n, avgdl)`` of the written segments."""
+    n = F.sum("n")
+    return segments.groupBy("lang").agg(n.alias("n"), (F.sum("total") / F.nullif(n, F.lit(0))).alias("avgdl")).where(F.col("n") > 0)
+
+
+def segment_documents(segments: DataFrame, docid: ST.StructField) -> DataFrame:
+    """``(lang, docid, dl, words, tfs)`` of the written segments: the distinct words of every bag in one string."""
+    schema = ST.StructType([segments.schema["lang"], docid]).add("dl", ST.LongType()).add("words", ST.StringType()).add("tfs", ST.ArrayType(ST.IntegerType()))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("segment")):
+                lists = _arrays(blob.as_py())
+                sizes, n = lists["sizes"].to_numpy().astype(np.int64), len(lists["docids"])
+                ends = np.cumsum(lists["gaps"].to_numpy(), dtype=np.int64)
+                row = ends - np.repeat(np.concatenate([[0], ends])[np.cumsum(sizes) - sizes], sizes)
+                order = np.argsort(row, kind="stable")
+                offsets = pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32))
+                words = pa.ListArray.from_arrays(offsets, lists["words"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[order])))
+                tfs = pa.ListArray.from_arrays(offsets, lists["tfs"].cast(pa.int32()).take(pa.array(order)))
+                columns = [pa.array([lang] * n, pa.string()), lists["docids"], lists["lengths"], pc.binary_join(words, " "), tfs]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "docid", "dl", "words", "tfs"]).filter(pc.greater(lists["lengths"], 0))
+
+    return segments.select("lang", "segment").mapInArrow(documents, schema)
+
+
 class InvertedLists:
     """Lists of the documents of some segments of one language: the words of the queries with the documents that hold them."""
 

@@ -66,3 +66,21 @@ def test_saving_reads_the_postings_once(spark, tmp_path):
     saved = blockmax.save_block_index(replace(built, maxima=None, doc_freqs=None), str(tmp_path))
     assert {(r.term, r.df) for r in saved.doc_freqs.collect()} == {("red", 2), ("fish", 1), ("sky", 1)}
     assert rows(saved.maxima, *built.maxima.columns) == rows(built.maxima, *built.maxima.columns)
+
+
+def test_texts_are_cut_once_and_ranges_travel_in_parts(spark, texts, monkeypatch):
+    """An index that isn't saved is made of written segments; the numbers of the queries of a range are broadcast in parts of bounded size."""
+    docs = spark.createDataFrame([*texts[0][:1500], ("d1", "common1 twice"), ("none", None)], "docid string, text string")
+    queries = spark.createDataFrame(texts[1][:12], "qid string, query string")
+    built = fulltext.build_fulltext_index(docs)
+    blocks = blockmax.build_block_index(built, range_docs=8)
+    assert "lower(" not in blocks.postings._jdf.queryExecution().analyzed().toString()
+    saved = blockmax.save_block_index(blocks)
+    assert saved.maxima.select("lang", "term", "range").distinct().count() == saved.maxima.count()
+    expected = rows(fulltext.bm25_search(queries, built, 10), *COLUMNS)
+    monkeypatch.setattr(blockmax, "BROADCAST_PAIRS", 200)
+    found = blockmax.pruned_search(queries, saved, 10, 4)
+    assert rows(found.hits, *COLUMNS) == expected
+    assert "Exchange hashpartitioning" not in found.read._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(blockmax, "BROADCAST_ROWS", 5)  # query terms are many: joined by shuffle
+    assert rows(blockmax.block_max_search(queries, saved, 10), *COLUMNS) == expected
