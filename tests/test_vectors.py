@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import vectors as V
+from gleaner.functions import blocks, vectors as V
 from gleaner.functions.blocks import LocalTopK, l2_distances
 from gleaner.operators import ann, encode, evaluate, rerank, vectorsearch
 from gleaner.operators.blocksearch import block_search
@@ -302,3 +302,25 @@ def test_cells_learn_from_a_bounded_share(spark):
     exact = vectorsearch.dense_search(queries, vectors, 10)
     found = ann.ann_search(queries, index, 10, nprobe=4)
     assert exact.join(found, ["qid", "docid"]).count() >= 0.9 * exact.count()
+
+
+def test_only_pairs_that_may_be_hits_are_looked_at_one_by_one(monkeypatch):
+    """Hits equal those of whole matrices, with equal vectors and ties; later documents that are far away are never offered."""
+    rng = np.random.default_rng(3)
+    docs, queries = rng.normal(size=(900, 8)).round(1), rng.normal(size=(40, 8)).round(1)
+    docs[100:130], queries[:5] = docs[7], docs[7]  # equal ones
+    docs[500:] += 50
+    ids = np.array([f"d{i:03}" for i in range(900)], dtype=object)
+    monkeypatch.setattr(blocks, "MATRIX_ELEMENTS", 1_000)  # several parts of the queries
+    for metric, scores in (("l2", lambda d: -blocks.l2_distances(d, queries)), ("ip", lambda d: blocks.inner_products(d, queries))):
+        whole, near = blocks.LocalTopK(40, 10), blocks.LocalTopK(40, 10)
+        offered = []
+        offer = near.offer
+        near.offer = lambda query, found, names: (offered.append(len(found)), offer(query, found, names))
+        for start in range(0, 900, 100):
+            part = slice(start, start + 100)
+            whole.offer_all(scores(docs[part]), ids[part])
+            near.offer_near(queries, docs[part], ids[part], metric)
+        for q in range(40):
+            assert sorted(zip(-whole.scores[q], whole.ids[q])) == sorted(zip(-near.scores[q], near.ids[q]))
+        assert metric == "ip" or sum(offered) < 40 * 400
